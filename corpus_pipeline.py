@@ -1,8 +1,61 @@
-"""The corpus pipeline: quality, repeated lines, near copies, leaked benchmarks, token ids."""
+"""The corpus pipeline: quality, repeated lines, near copies, leaked benchmarks, token ids.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir), works on all that the stage before it kept, and returns a
+DataFrame; all but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from symtrail.llm import bpe, decontaminate, line_dedup, quality, simhash
+from symtrail.llm.common import materialise, table
+
+#: No SQL: a trained classifier, SimHash and BPE are not expressed in it.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the pairwise ranking model rejects go."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines go that a document with a smaller doc_id holds as well."""
+    return line_dedup.dedup_documents(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash group stays."""
+    return simhash.one_of_each(docs)
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents go that a benchmark item leaks into."""
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, ids."""
+    import public_tokenizers
+
+    return bpe.bpe(docs, public_tokenizers.path(bpe.VOCABULARY))
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("line_dedup", repeated_lines),
+    ("simhash_near_dedup", near_copies),
+    ("benchmark_decontamination", benchmark_leaks),
+    ("bpe", token_ids),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after the other over documents, each written as Parquet for the next."""
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = materialise(docs)
+    return docs

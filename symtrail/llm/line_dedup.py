@@ -153,36 +153,66 @@ def apply(docs: DataFrame, state: LineState, min_chars: int = MIN_CHARS, shards:
     doc_id neither counts nor loses lines. Other columns are ignored, whatever their names. An
     empty table gives an empty result.
     """
-    sent = _sent(docs.sparkSession, state.filters, filter_bytes)
-    drops = _drops(_refs_of(docs, min_chars, shards, sent), state.counts.filter("n_docs >= 2"))
-    whole = docs.select("doc_id", "text")
-    marked = whole.join(drops, whole["doc_id"].cast("long") == drops["key_"], "left").drop("key_")
+    marked = _marked(docs.select("doc_id", "text"), state, min_chars, shards, filter_bytes)
 
     def rows(batches):
         for batch in batches:
-            names = batch.schema.names
-            text, drop = (batch.column(names.index(n)).to_pylist() for n in ("text", "drop_"))
-            kept, n_lines, n_dropped = [], [], []
-            for t, d in zip(text, drop, strict=True):
-                lines = (t or "").split("\n")
-                n = len(lines)
-                if d:
-                    lost = {x["lo"].to_bytes(8, "little", signed=True) + x["hi"].to_bytes(8, "little", signed=True) for x in d}
-                    lines = [x for x, k in zip(lines, _keys(t, min_chars), strict=True) if k not in lost]
-                kept.append("\n".join(lines))
-                n_lines.append(n)
-                n_dropped.append(n - len(lines))
-            yield pa.record_batch([batch.column(names.index("doc_id")), pa.array(kept, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], names=["doc_id", "kept_text", "n_lines", "n_dropped"])
+            done = _without(batch, min_chars)
+            yield pa.record_batch([batch.column(batch.schema.get_field_index("doc_id")), *(pa.array([x[i] for x in done], k) for i, k in enumerate((pa.string(), pa.int64(), pa.int64())))], names=["doc_id", "kept_text", "n_lines", "n_dropped"])
 
     return marked.mapInArrow(rows, f"doc_id {dict(docs.dtypes)['doc_id']}, kept_text string, n_lines long, n_dropped long")
 
 
-def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, shards: int = SHARDS, filter_bytes: int = FILTER_BYTES) -> DataFrame:
-    """apply() to docs with the counts over docs themselves; of these only repeated keys are written."""
+def _marked(docs: DataFrame, state: LineState, min_chars: int, shards: int, filter_bytes: int) -> DataFrame:
+    """docs with drop_, the keys whose lines each row loses."""
+    sent = _sent(docs.sparkSession, state.filters, filter_bytes)
+    drops = _drops(_refs_of(docs, min_chars, shards, sent), state.counts.filter("n_docs >= 2"))
+    return docs.join(drops, docs["doc_id"].cast("long") == drops["key_"], "left").drop("key_")
+
+
+def _without(batch: pa.RecordBatch, min_chars: int) -> list[tuple[str, int, int]]:
+    """For each row of marked documents: the text that stays, its lines before and those dropped."""
+    text, drop = (batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("text", "drop_"))
+    out = []
+    for t, d in zip(text, drop, strict=True):
+        lines = (t or "").split("\n")
+        n = len(lines)
+        if d:
+            lost = {x["lo"].to_bytes(8, "little", signed=True) + x["hi"].to_bytes(8, "little", signed=True) for x in d}
+            lines = [x for x, k in zip(lines, _keys(t, min_chars), strict=True) if k not in lost]
+        out.append(("\n".join(lines), n, n - len(lines)))
+    return out
+
+
+def _state_of(docs: DataFrame, min_chars: int, shards: int) -> LineState:
+    """Counts and filters of the repeated keys of docs alone, which is all that one pass needs."""
     refs = _refs_of(docs, min_chars, shards)
     ends = refs.groupBy("shard", "hi", "lo").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
     counts = materialise(ends.filter("first_doc < last_doc").drop("last_doc"))
-    return apply(docs, LineState(None, counts, materialise(_filters(counts))), min_chars, shards, filter_bytes)
+    return LineState(None, counts, materialise(_filters(counts)))
+
+
+def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, shards: int = SHARDS, filter_bytes: int = FILTER_BYTES) -> DataFrame:
+    """apply() to docs with the counts over docs themselves."""
+    return apply(docs, _state_of(docs, min_chars, shards), min_chars, shards, filter_bytes)
+
+
+def dedup_documents(docs: DataFrame, min_chars: int = MIN_CHARS, shards: int = SHARDS, filter_bytes: int = FILTER_BYTES) -> DataFrame:
+    """docs with all their columns and rows, the text without its repeated lines; n_chars, if there
+    is such a column, counts what stays."""
+    marked = _marked(docs, _state_of(docs, min_chars, shards), min_chars, shards, filter_bytes)
+    columns = docs.columns
+
+    def rows(batches):
+        for batch in batches:
+            done = [x[0] for x in _without(batch, min_chars)]
+            new = {"text": pa.array(done, pa.string()), "n_chars": pa.array([len(t) for t in done], pa.int64())}
+            kept = {n: new.get(n, batch.column(batch.schema.get_field_index(n))) for n in columns}
+            if "n_chars" in kept:
+                kept["n_chars"] = kept["n_chars"].cast(batch.schema.field("n_chars").type)
+            yield pa.record_batch(list(kept.values()), names=columns)
+
+    return marked.mapInArrow(rows, docs.schema)
 
 
 def op10_line_dedup(spark, sf_dir):

@@ -168,5 +168,15 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, radiu
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def one_of_each(docs: DataFrame, **parameters) -> DataFrame:
+    """docs, with all their columns, of which the document with the least doc_id of each group stays.
+
+    Rows that repeat its doc_id stay with it. Rows with a null doc_id stay only in a group where no
+    doc_id is known.
+    """
+    kept = near_groups(docs, **parameters).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id_"))
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id_"]), "left_semi")
+
+
 def op7_simhash_near_dedup(spark, sf_dir):
     return near_groups(table(spark, sf_dir, "documents"))
