@@ -86,9 +86,11 @@ def lookup(rows: DataFrame, keyed: DataFrame, keys: list[str], weight: str, how:
     return near.unionByName(far.select(*near.columns))
 
 
-def arrow_rows(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[list[list]]:
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of a few rows, so that few texts at a time become Python objects."""
     for batch in batches:
-        yield [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names]
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
 
 
 def cut(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:

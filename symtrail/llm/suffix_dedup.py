@@ -24,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, lookup, materialise, table
+from .common import cut, lookup, materialise, sliced, table
 
 LENGTH, ANCHOR = 400, 128
 #: Groups with more different runs go through pass 3 by a shuffle of window hashes instead.
-GROUP_RUNS = 2048
-_PLACE = 20
+GROUP_RUNS = 1024
+_PLACE = 18
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -106,7 +106,7 @@ def _anchored(docs: DataFrame, length: int, anchor: int) -> DataFrame:
             return pa.record_batch([pa.array(c) for c in cols], names=["gram", "run", "id_", "tag_", "first", "last", "at"])
 
         pieces, ids, size = [], [], 0
-        for batch in batches:
+        for batch in sliced(batches):
             names = batch.schema.names
             for doc, tag, text in zip(*(batch.column(names.index(x)).to_pylist() for x in ("id_", "tag_", "text")), strict=True):
                 data = (text or "").encode()
@@ -180,7 +180,7 @@ def _spans_of(run: np.ndarray, window: np.ndarray, length: int):
 _SPAN = "id_ long, tag_ long, start long, end long"
 
 
-def _sorted_groups(length: int):
+def _sorted_groups(length: int, together: int = 1024):
     def rows(batches):
         names = ["gram", "run", "n", "id_", "tag_", "first", "at", "bytes"]
         held = None
@@ -198,14 +198,16 @@ def _sorted_groups(length: int):
             part = pa.Table.from_batches([batch.select(names)])
             held = part if held is None else pa.concat_tables([held, part])
             gram = held.column("gram").to_numpy()
-            if len(gram) >= 4096:
-                other = np.flatnonzero(gram != gram[-1])
-                if len(other):
-                    stop = int(other[-1]) + 1
-                    yield done(held.slice(0, stop).combine_chunks())
-                    held = held.slice(stop).combine_chunks()
+            starts = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))  # whole groups, `together` runs or so at a time
+            at = 0
+            while len(gram) - at > together and (later := starts[starts > at]).size:
+                near = later[later <= at + together]
+                stop = int(near[-1] if near.size else later[0])
+                yield done(held.slice(at, stop - at).combine_chunks())
+                at = stop
+            held = held.slice(at).combine_chunks()
         if held is not None and len(held):
-            yield done(held.combine_chunks())
+            yield done(held)
 
     return rows
 
@@ -239,7 +241,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     wanted = unsettled.groupBy("id_", "tag_").agg(F.collect_list(F.struct("gram", "run", "n", "kinds", "first", "last", "at")).alias("wanted_"))
 
     def fetch(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             names = batch.schema.names
             cols: list[list] = [[] for _ in range(9)]
             for doc, tag, text, wanted in zip(*(batch.column(names.index(x)).to_pylist() for x in ("id_", "tag_", "text", "wanted_")), strict=True):
@@ -271,7 +273,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, gr
     by_row = spans.groupBy("id_", "tag_").agg(F.collect_set(F.struct("start", "end")).alias("spans_"))
 
     def cleaned(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             names = batch.schema.names
             out = []
             for text, spans in zip(batch.column(names.index("text")).to_pylist(), batch.column(names.index("spans_")).to_pylist(), strict=True):
