@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lookup, materialise, table
+from .common import lookup, materialise, sliced, table
 
 MIN_WORDS = 10
 _BREAK = {"line": re.compile("\n"), "paragraph": re.compile(r"\n[^\S\n]*\n\s*")}
@@ -35,7 +35,7 @@ def normalised(text: str) -> str:
 
 def _units_of(docs: DataFrame, unit: str, min_words: int) -> DataFrame:
     def rows(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             names = batch.schema.names
             owner, digest, starts, ends = [], [], [], []
             for doc, text in zip(batch.column(names.index("doc_id")).to_pylist(), batch.column(names.index("text")).to_pylist(), strict=True):
@@ -69,19 +69,20 @@ def duplicate_units(docs: DataFrame, unit: str = "line", min_words: int = MIN_WO
 
 
 def substring_dedup(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, n_units, n_removed, n_spans, spans, kept_text: each document without its repeats.
+    """doc_id, n_units, n_removed, n_spans, spans, keep_doc_ids, kept_text: each document without its
+    repeats. keep_doc_ids are the documents that hold what stays of them, sorted.
 
     spans are (start, end) in characters of the original text, so that it can be restored. A unit's
     line break goes with it. Null and empty texts are one empty unit and stay as they are (kept_text
     is then empty). Every row gives a row, also one with a null doc_id (nothing removed). Other
     columns are ignored. An empty table gives an empty result.
     """
-    gone = duplicate_units(docs, unit, min_words).groupBy(F.col("doc_id").alias("key_")).agg(F.collect_set(F.struct("start", "end")).alias("gone_"))
+    gone = duplicate_units(docs, unit, min_words).groupBy(F.col("doc_id").alias("key_")).agg(F.collect_set(F.struct("start", "end")).alias("gone_"), F.sort_array(F.collect_set("keep_doc_id")).alias("keep_doc_ids"))
     whole = docs.select("doc_id", "text")
     marked = whole.join(gone, whole["doc_id"].cast("long") == gone["key_"], "left").drop("key_")
 
     def rows(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             names = batch.schema.names
             n_units, removed, spans_of, kept = [], [], [], []
             for text, gone in zip(batch.column(names.index("text")).to_pylist(), batch.column(names.index("gone_")).to_pylist(), strict=True):
@@ -103,13 +104,15 @@ def substring_dedup(docs: DataFrame, unit: str = "line", min_words: int = MIN_WO
                 removed.append(len(lost))
                 spans_of.append(spans)
                 kept.append("".join(parts))
+            holders = batch.column(names.index("keep_doc_ids"))
             span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.record_batch([batch.column(names.index("doc_id")), pa.array(n_units, pa.int64()), pa.array(removed, pa.int64()), pa.array([len(s) for s in spans_of], pa.int64()), pa.array(spans_of, span), pa.array(kept, pa.string())], names=["doc_id", "n_units", "n_removed", "n_spans", "spans", "kept_text"])
+            yield pa.record_batch([batch.column(names.index("doc_id")), pa.array(n_units, pa.int64()), pa.array(removed, pa.int64()), pa.array([len(s) for s in spans_of], pa.int64()), pa.array(spans_of, span), holders, pa.array(kept, pa.string())], names=["doc_id", "n_units", "n_removed", "n_spans", "spans", "keep_doc_ids", "kept_text"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return marked.mapInArrow(rows, f"doc_id {kind}, n_units long, n_removed long, n_spans long, spans array<struct<start:bigint,end:bigint>>, kept_text string")
+    return marked.mapInArrow(rows, f"doc_id {kind}, n_units long, n_removed long, n_spans long, spans array<struct<start:bigint,end:bigint>>, keep_doc_ids array<bigint>, kept_text string")
 
 
 def op1_substring_dedup(spark, sf_dir):
-    out = substring_dedup(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_units", "n_removed", "n_spans", "spans", F.sha2("kept_text", 256).alias("kept_sha256"))
+    """The documents that lose something; all others stay as they are."""
+    out = substring_dedup(table(spark, sf_dir, "documents")).filter("n_removed > 0")
+    return out.select("doc_id", "n_units", "n_removed", "n_spans", "spans", "keep_doc_ids", F.sha2("kept_text", 256).alias("kept_sha256"))
