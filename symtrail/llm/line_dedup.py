@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lookup, materialise, table
+from .common import lookup, materialise, sliced, table
 from .cuckoo import CuckooFilter
 
 MIN_CHARS, SHARDS = 10, 64
@@ -156,7 +156,7 @@ def apply(docs: DataFrame, state: LineState, min_chars: int = MIN_CHARS, shards:
     marked = _marked(docs.select("doc_id", "text"), state, min_chars, shards, filter_bytes)
 
     def rows(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             done = _without(batch, min_chars)
             yield pa.record_batch([batch.column(batch.schema.get_field_index("doc_id")), *(pa.array([x[i] for x in done], k) for i, k in enumerate((pa.string(), pa.int64(), pa.int64())))], names=["doc_id", "kept_text", "n_lines", "n_dropped"])
 
@@ -200,19 +200,20 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, shards: int = SHARDS
 def dedup_documents(docs: DataFrame, min_chars: int = MIN_CHARS, shards: int = SHARDS, filter_bytes: int = FILTER_BYTES) -> DataFrame:
     """docs with all their columns and rows, the text without its repeated lines; n_chars, if there
     is such a column, counts what stays."""
-    marked = _marked(docs, _state_of(docs, min_chars, shards), min_chars, shards, filter_bytes)
-    columns = docs.columns
+    whole = docs.select("doc_id", "text", F.struct(*[docs[c] for c in docs.columns]).alias("row_"))
+    marked = _marked(whole, _state_of(docs, min_chars, shards), min_chars, shards, filter_bytes)
+    columns, schema = docs.columns, docs.schema
 
     def rows(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             done = [x[0] for x in _without(batch, min_chars)]
-            new = {"text": pa.array(done, pa.string()), "n_chars": pa.array([len(t) for t in done], pa.int64())}
-            kept = {n: new.get(n, batch.column(batch.schema.get_field_index(n))) for n in columns}
-            if "n_chars" in kept:
-                kept["n_chars"] = kept["n_chars"].cast(batch.schema.field("n_chars").type)
-            yield pa.record_batch(list(kept.values()), names=columns)
+            own = dict(zip(columns, batch.column(batch.schema.get_field_index("row_")).flatten(), strict=True))
+            own["text"] = pa.array(done, pa.string())
+            if "n_chars" in own:
+                own["n_chars"] = pa.array([len(t) for t in done], pa.int64()).cast(own["n_chars"].type)
+            yield pa.record_batch(list(own.values()), names=columns)
 
-    return marked.mapInArrow(rows, docs.schema)
+    return marked.mapInArrow(rows, schema)
 
 
 def op10_line_dedup(spark, sf_dir):
