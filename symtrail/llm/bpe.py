@@ -23,6 +23,23 @@ CACHED = 300_000
 VOCABULARY = "word_bpe_49k.json"
 
 
+# Letters and numbers that the installed regex tables know but the library's do not, and
+# capitals that the library lower-cases but this Python does not, each with what it is moved by.
+NEWER_LETTERS = (
+    "\\u0558\\u058b-\\u058c\\u088f\\u0c5c\\u0cdc\\u208f\\u209d-\\u209f\\ua7ce-\\ua7cf\\ua7d2\\ua7d4\\ua7dd\\ua7e2\\ua7f1\\uab6c-\\uab6d"
+    "\\U000107bb-\\U000107bf\\U00010940-\\U00010959\\U00010ec5-\\U00010ec7\\U00010ed9-\\U00010eee\\U00011b0a\\U00011db0-\\U00011ddb\\U00011df1"
+    "\\U00016ea0-\\U00016eb8\\U00016ebb-\\U00016ed3\\U00016ff2-\\U00016ff3\\U000187f8-\\U000187ff\\U00018cd6-\\U00018cda\\U00018d09-\\U00018d20"
+    "\\U00018d80-\\U00018df2\\U00018e00-\\U00019191\\U000191a0-\\U000191d2\\U0001b123-\\U0001b128\\U0001b168\\U0001d6a6\\U0001df1f-\\U0001df24"
+    "\\U0001df2b-\\U0001df81\\U0001df90-\\U0001df96\\U0001dfcd-\\U0001dfff\\U0001e6c0-\\U0001e6de\\U0001e6e0-\\U0001e6e2\\U0001e6e4-\\U0001e6e5"
+    "\\U0001e6e7-\\U0001e6ed\\U0001e6f0-\\U0001e6f4\\U0001e6fe-\\U0001e6ff\\U0002b73a-\\U0002b73f\\U0002b81e\\U0002cea2-\\U0002cead"
+    "\\U000323b0-\\U00033479\\U0003d000-\\U0003fc3f"
+)
+NEWER_NUMBERS = "\\U00011de0-\\U00011de9\\U0001246f\\U00012475-\\U0001247f\\U00012550-\\U00012686\\U00016ff4-\\U00016ff6"
+LATE_CAPITALS = {0x1C89: 1, 0xA7CB: 0x264 - 0xA7CB, 0xA7CC: 1, 0xA7CE: 1, 0xA7D2: 1, 0xA7D4: 1, 0xA7DA: 1, 0xA7DC: 0x19B - 0xA7DC}
+LATE_CAPITALS |= {c: 0x20 for c in range(0x10D50, 0x10D66)} | {c: 0x1B for c in range(0x16EA0, 0x16EB9)}
+_LATE_LOWER = {c: c + by for c, by in LATE_CAPITALS.items()}
+
+
 def byte_alphabet() -> list[str]:
     """The printable character that stands for each byte: itself if printable, else one from 256 on."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -40,7 +57,8 @@ class WordBPE:
         self.suffix = model["end_of_word_suffix"]
         self.tokens: dict[int, str] = {i: t for t, i in [*vocab.items(), *self.special.items()]}
         split = next(x for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
-        self.words = regex.compile(split["pattern"]["Regex"])
+        pattern = split["pattern"]["Regex"].replace(r"\p{L}", rf"[\p{{L}}--[{NEWER_LETTERS}]]").replace(r"\p{N}", rf"[\p{{N}}--[{NEWER_NUMBERS}]]")
+        self.words = regex.compile(pattern, regex.V1)
         self.specials = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))))
         alphabet = byte_alphabet()
         self.byte_ids = np.array([vocab.get(c, -1) for c in alphabet], np.int64)
@@ -120,6 +138,8 @@ class WordBPE:
     def _chunks(text: str) -> list[str]:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # lower-cased by character: no final sigma
+            if _LATE.search(text):
+                text = text.translate(_LATE_LOWER)
         if _ODD_SPACE.search(text):  # str.split() also splits at these
             return [c for c in _SPACE.split(text.lower()) if c]
         return text.lower().split()
@@ -157,6 +177,7 @@ class WordBPE:
 
 
 _SPACE, _ODD_SPACE = regex.compile(r"\s+"), regex.compile("[\x1c-\x1f]")
+_LATE = regex.compile("[" + "".join(map(chr, LATE_CAPITALS)) + "]")
 _MARK = " "  # no stretch without white space holds one
 _loaded: dict[str, WordBPE] = {}
 
