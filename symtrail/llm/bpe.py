@@ -37,6 +37,15 @@ NEWER_LETTERS = (
 NEWER_NUMBERS = "\\U00011de0-\\U00011de9\\U0001246f\\U00012475-\\U0001247f\\U00012550-\\U00012686\\U00016ff4-\\U00016ff6"
 LATE_CAPITALS = {0x1C89: 1, 0xA7CB: 0x264 - 0xA7CB, 0xA7CC: 1, 0xA7CE: 1, 0xA7D2: 1, 0xA7D4: 1, 0xA7DA: 1, 0xA7DC: 0x19B - 0xA7DC}
 LATE_CAPITALS |= {c: 0x20 for c in range(0x10D50, 0x10D66)} | {c: 0x1B for c in range(0x16EA0, 0x16EB9)}
+# Combining marks that the library does not know as such (and one half of a newer pair):
+# nothing is reordered or joined across them.
+PLAIN_MARKS = (
+    "\u07fd\u0898-\u089f\u08ca-\u08d3\u09fe\u0c3c\u0d3b-\u0d3c\u0eba\u1715\u1abf-\u1ace\u1df6-\u1dfa\ua82c"
+    "\U00010d24-\U00010d27\U00010eab-\U00010eac\U00010efd-\U00010eff\U00010f46-\U00010f50\U00010f82-\U00010f85\U00011070"
+    "\U0001133b\U0001145e\U00011839-\U0001183a\U00011930\U0001193d-\U0001193e\U00011943\U000119e0\U00011a34\U00011a47"
+    "\U00011a99\U00011d42\U00011d44-\U00011d45\U00011d97\U00011f41-\U00011f42\U00016ff0-\U00016ff1\U0001e08f"
+    "\U0001e130-\U0001e136\U0001e2ae\U0001e2ec-\U0001e2ef\U0001e4ec-\U0001e4ef"
+)
 _LATE_LOWER = {c: c + by for c, by in LATE_CAPITALS.items()}
 
 
@@ -137,7 +146,7 @@ class WordBPE:
     @staticmethod
     def _chunks(text: str) -> list[str]:
         if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # lower-cased by character: no final sigma
+            text = "".join(unicodedata.normalize("NFC", x) for x in _PLAIN.split(text)).replace("Σ", "σ")  # lower-cased by character: no final sigma
             if _LATE.search(text):
                 text = text.translate(_LATE_LOWER)
         if _ODD_SPACE.search(text):  # str.split() also splits at these
@@ -178,6 +187,7 @@ class WordBPE:
 
 _SPACE, _ODD_SPACE = regex.compile(r"\s+"), regex.compile("[\x1c-\x1f]")
 _LATE = regex.compile("[" + "".join(map(chr, LATE_CAPITALS)) + "]")
+_PLAIN = regex.compile(f"([{PLAIN_MARKS}])")
 _MARK = " "  # no stretch without white space holds one
 _loaded: dict[str, WordBPE] = {}
 
