@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import sliced, table
 
 #: The model is fitted on at most this many labelled rows, drawn by a hash of doc_id, and this many
 #: preference pairs. Scoring covers all rows and whole texts.
@@ -121,7 +121,7 @@ def with_features(docs: DataFrame) -> DataFrame:
     """doc_id and x, an array of features, for each row."""
 
     def rows(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             names = batch.schema.names
             x = [features(t) for t in batch.column(names.index("text")).to_pylist()]
             yield pa.record_batch([batch.column(names.index("doc_id")), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "x"])
@@ -154,7 +154,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     """
 
     def rows(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             names = batch.schema.names
             texts = batch.column(names.index("text")).to_pylist()
             x = np.array([features(t) for t in texts], float).reshape(len(texts), len(FEATURES))
@@ -170,7 +170,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     schema = docs.schema
 
     def rows(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             x = np.array([features(t) for t in texts], float).reshape(len(texts), len(FEATURES))
             yield batch.filter(pa.array(model.scores(x) >= 0.5))

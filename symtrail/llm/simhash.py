@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .common import materialise, table
+from .common import materialise, sliced, table
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
 #: A bucket of more distinct fingerprints is split by a second set of masks.
@@ -52,7 +52,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> D
     """doc_id, fp (long: the 64 bits) for each row; null and wordless texts have fingerprint zero."""
 
     def rows(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             names = batch.schema.names
             fps = np.array([fingerprint(t, shingle, seed) for t in batch.column(names.index("text")).to_pylist()], np.uint64)
             yield pa.record_batch([batch.column(names.index("doc_id")), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
