@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import history, stack, text
-from .operators import graph, incremental, lookup, rank, refs, resolve, search
+from .operators import editor, graph, incremental, lookup, rank, refs, resolve, search
 from .plans.adapters import FACTS_SQL, Facts, read, star_facts, watch_events
 from .streaming import watch
 
@@ -535,6 +535,37 @@ def symbol_codes(f):
     return f.symbols.select("id", text.kind_weight(F.col("kind")).alias("weight"), text.module_prefix(F.col("qualified")).alias("module"))
 
 
+@query("""SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'open A' || chr(10) || 'open Z' || chr(10) || 'open A.B' END AS organised, CASE o_orderkey % 3 WHEN 0 THEN 4 WHEN 1 THEN 1 ELSE 0 END AS line FROM orders""", facts=False)
+def organize_opens(spark, sf_dir):
+    k = F.col("o_orderkey")
+    content = F.when(k % 3 == 0, "module M\nopen Z\nopen A.B\nopen A\nlet x = 1").when(k % 3 == 1, "module M\nlet x = 1").otherwise("let x = 1")
+    return read(spark, sf_dir, "orders").select(k, editor.organised_opens(content).alias("organised"), editor.open_insert_line(content).alias("line"))
+
+
+@query("""SELECT name AS label, CASE WHEN NOT (EXISTS (SELECT 1 FROM opens o WHERE o.file = 'src/Brand_7.py' AND o.module_path = split_part(qualified, '.', 1) || '.' || split_part(qualified, '.', 2))
+OR ends_with(split_part(qualified, '.', 2), 'Brand_7')) THEN qualified END AS insert_text, id FROM symbols
+WHERE starts_with(lower(name), 'hot') OR contains(lower(qualified), 'hot') ORDER BY starts_with(lower(name), 'hot') DESC, strlen(name), qualified, id LIMIT 50""")
+def completion_symbols(f):
+    return editor.symbol_completions(f.symbols, f.opens, "src/Brand_7.py", "hot").select("label", "insert_text", "id")
+
+
+@query("""SELECT name AS label, id FROM symbols WHERE file = 'src/Brand_7.py' OR qualified IN (SELECT qualified FROM symbols WHERE file = 'src/Brand_7.py')
+OR split_part(qualified, '.', 1) || '.' || split_part(qualified, '.', 2) IN (SELECT module_path FROM opens WHERE file = 'src/Brand_7.py') ORDER BY id LIMIT 40""")
+def completion_scope(f):
+    symbols = f.symbols.drop("implements")
+    return editor.symbol_completions(symbols, f.opens, "src/Brand_7.py", "", 40).select("label", "id").distinct()
+
+
+@query("SELECT member_name AS label, kind, member_type AS detail FROM members WHERE type_name = 'SMALL'")
+def completion_members(f):
+    return editor.member_completions(f.members, "SMALL")
+
+
+@query("SELECT 'symbols' AS \"check\", true AS ok, CAST(count(*) AS VARCHAR) AS detail FROM symbols UNION ALL SELECT 'files', true, CAST(count(DISTINCT file) AS VARCHAR) FROM symbols UNION ALL SELECT 'languages', true, count(DISTINCT file) || ' of ' || count(DISTINCT file) FROM symbols")
+def doctor(f):
+    return editor.health(f.symbols, lookup.distinct_files(f.symbols).select(F.col("file").alias("path")))
+
+
 # --- resolution ----------------------------------------------------------------------------------
 
 
