@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_written: list[tuple[SparkSession, str]] = []
+
 
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session; a folder of our own only where it is unset."""
@@ -18,7 +22,29 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """df, written as Parquet and read again."""
-    path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    """Cut the lineage: write df as Parquet to the shared folder and read it back.
+
+    Survives lost executors, unlike a local checkpoint, and stays small on disk as it is columnar.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(_at_exit)
+    _written.append((spark, path))
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_scratch() -> None:
+    """Delete every table that materialise() wrote; results not yet computed from them are lost."""
+    while _written:
+        spark, path = _written.pop()
+        if spark.sparkContext._jsc is None:
+            continue
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _at_exit() -> None:
+    with contextlib.suppress(Exception):  # the JVM may be gone by then
+        drop_scratch()
