@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import materialise
 from ..shipping import ship
 
+__all__ = ["HOT_KEYS", "ascii_lower", "cut", "lookup", "materialise", "sliced", "table", "whole_text"]
+
 #: At most this many keys of a table are broadcast as its hot keys.
 HOT_KEYS = 4096
 
@@ -20,44 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set here only if unset."""
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = context.getCheckpointDir()
-        if not folder:
-            context.setCheckpointDir("/tmp/checkpoints")
-            folder = context.getCheckpointDir()
-        return folder
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(folder)
-    return folder
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write df as Parquet to the shared folder and read it back.
-
-    Survives lost executors, unlike a local checkpoint, and stays small on disk as it is columnar.
-    """
-    spark = df.sparkSession
-    path = f"{scratch(spark)}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _scratch_paths.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-_scratch_paths: list[tuple[SparkSession, str]] = []
-
-
-def drop_scratch() -> None:
-    """Delete every table that materialise() wrote; results not yet computed from them are lost."""
-    while _scratch_paths:
-        spark, path = _scratch_paths.pop()
-        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def whole_text(text: Column) -> Column:
     """Null counts as the empty text."""
     return F.coalesce(text, F.lit(""))
