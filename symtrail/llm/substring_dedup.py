@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from .common import lookup, materialise, sliced, table
 
-MIN_WORDS = 10
+#: Shorter units are boilerplate, which line dedup takes; passages are longer.
+MIN_WORDS = 20
 _BREAK = {"line": re.compile("\n"), "paragraph": re.compile(r"\n[^\S\n]*\n\s*")}
 
 

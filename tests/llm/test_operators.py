@@ -130,15 +130,15 @@ def test_cuckoo_filter():
 def test_substring_dedup(spark):
     long = "one two three four five six seven eight nine ten"
     rows = [*ODD, (20, f"x\n{long}\ny"), (21, f"{long.upper()}!\n{long}"), (22, f"{long} more\nz"), (23, long)]
-    got = {r["doc_id"]: r for r in substring_dedup.substring_dedup(table(spark, rows)).collect() if r["doc_id"]}
+    got = {r["doc_id"]: r for r in substring_dedup.substring_dedup(table(spark, rows), min_words=10).collect() if r["doc_id"]}
     assert got[20]["n_removed"] == 0 and got[20]["kept_text"] == f"x\n{long}\ny"
     assert got[21]["n_removed"] == 2 and got[21]["kept_text"] == "" and [tuple(s) for s in got[21]["spans"]] == [(0, len(long) * 2 + 2)]
     assert got[22]["n_removed"] == 0
     assert got[23]["kept_text"] == "" and [tuple(s) for s in got[23]["spans"]] == [(0, len(long))]
     assert got[1]["kept_text"] == "" and got[5]["kept_text"] == "\n\n  \n" and got[4]["n_removed"] == 0
-    assert substring_dedup.substring_dedup(table(spark, rows)).count() == len(rows)
+    assert substring_dedup.substring_dedup(table(spark, rows), min_words=10).count() == len(rows)
     assert substring_dedup.substring_dedup(table(spark, rows).limit(0)).count() == 0
-    paragraphs = substring_dedup.duplicate_units(table(spark, [(1, f"{long}\nand so\n\nrest"), (2, f"start\n\n{long}\nAND so")]), "paragraph")
+    paragraphs = substring_dedup.duplicate_units(table(spark, [(1, f"{long}\nand so\n\nrest"), (2, f"start\n\n{long}\nAND so")]), "paragraph", 10)
     assert [(r["doc_id"], r["start"], r["keep_doc_id"]) for r in paragraphs.collect()] == [(2, 7, 1)]
 
 
