@@ -8,8 +8,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from ..operators.rank import LANGUAGE_OF
+from ..scratch import materialise
 from . import generic, python
 
 _S, _I = T.StringType(), T.IntegerType()
@@ -54,16 +56,22 @@ def extract(sources: DataFrame, max_depth: int = 500) -> DataFrame:
 
 
 def facts(extracted: DataFrame, first_id: int = 1) -> dict[str, DataFrame]:
-    """symbols, refs, opens, file_mtimes and diagnostics of extracted files.
+    """symbols, refs, opens, file_mtimes and diagnostics of extracted files, which are read once.
 
-    Ids go by file and then by emission. They come from each file's counts, added up over the files,
-    one short row each, so the facts themselves are not sorted together.
+    Ids go by file and then by emission. Files are dealt out by ranges of their paths; each range's
+    counts are added up, one row a range, and the files of a range start where the ranges before it
+    end. So neither the facts nor the files are ever sorted in one task.
     """
-    from pyspark.sql.window import Window
-
+    extracted = materialise(extracted)
+    counts = ("n_symbols", "n_refs", "n_opens")
     sizes = extracted.select("path", F.size("symbols").alias("n_symbols"), F.size("refs").alias("n_refs"), F.size("opens").alias("n_opens"))
-    w = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("path", *[(F.coalesce(F.sum(c).over(w), F.lit(0)) + first_id).alias(c) for c in ("n_symbols", "n_refs", "n_opens")])
+    sizes = materialise(sizes.repartitionByRange("path").withColumn("part", F.spark_partition_id()))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # over one row a range
+    totals = sizes.groupBy("part").agg(*[F.sum(c).alias(f"all_{c}") for c in counts])
+    offsets = totals.select("part", *[(F.coalesce(F.sum(f"all_{c}").over(before), F.lit(0)) + first_id).alias(f"all_{c}") for c in counts])
+    within = Window.partitionBy("part").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
+    placed = sizes.select("path", "part", *[F.coalesce(F.sum(c).over(within), F.lit(0)).alias(c) for c in counts])
+    starts = placed.join(F.broadcast(offsets), "part").select("path", *[(F.col(c) + F.col(f"all_{c}")).alias(c) for c in counts])
     based = extracted.join(starts, "path")
     symbols = based.select((F.col("path")).alias("file"), "language", "n_symbols", F.posexplode("symbols").alias("at", "s")).select((F.col("n_symbols") + F.col("at")).alias("id"), "s.*", "file", "language", F.lit("syntactic").alias("source"))
     refs = based.select(F.col("path").alias("file"), "n_refs", F.posexplode("refs").alias("at", "r")).select((F.col("n_refs") + F.col("at")).alias("id"), "r.*", "file")
