@@ -518,8 +518,18 @@ _frames("go", "/app/u%d.go:%d +0x1d", "'<location>'", "concat('/app/u', user_id,
 @query(_CONTAINED_SQL + _CALLERS_SQL + """, frames AS (SELECT event_id AS trace_id, replace(s.qualified, '.', '.') AS symbol FROM events e JOIN symbols s ON s.id = e.event_id % 50 WHERE event_type = 'error' AND event_id < 2000)
 SELECT trace_id, symbol, symbol AS defined_as, (SELECT count(DISTINCT container) FROM pairs p WHERE p.target = symbol AND container <> target) AS callers FROM frames""", facts=False)
 def analyze_stacktrace(spark, sf_dir):
+    """The ids that the SQL covers; analyze_stacktrace_all takes every error event."""
+    return _analysed(spark, sf_dir, "event_type = 'error' and event_id < 2000")
+
+
+@query(None, facts=False)
+def analyze_stacktrace_all(spark, sf_dir):
+    return _analysed(spark, sf_dir, "event_type = 'error'")
+
+
+def _analysed(spark: SparkSession, sf_dir: str, errors: str) -> DataFrame:
     f = star_facts(spark, sf_dir)
-    e = read(spark, sf_dir, "events").filter("event_type = 'error' and event_id < 2000").withColumn("id", F.col("event_id") % 50)
+    e = read(spark, sf_dir, "events").filter(errors).withColumn("id", F.col("event_id") % 50)
     traces = e.join(F.broadcast(f.symbols.filter("id < 50").select("id", "qualified")), "id").select(F.col("event_id").alias("trace_id"), F.concat(F.lit("Error: x\nat "), "qualified", F.lit("(Main.java:3)")).alias("text"))
     frames = stack.parse_traces(traces).filter("frame is not null").select("trace_id", "frame.symbol")
     return graph.analyse_frames(frames, f.symbols, f.refs).select("trace_id", "symbol", "defined_as", "callers")
