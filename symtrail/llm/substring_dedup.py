@@ -1,4 +1,9 @@
-"""Substring dedup by line or paragraph hashing, with the removed spans' original offsets."""
+"""Substring dedup by line and paragraph hashing, with the removed spans' original offsets.
+
+A short line is hashed with its neighbours: the units of a text are the shortest runs of lines that
+reach the word minimum, one from each line on and one up to each line. So all lines of a repeated
+run that reaches it together go, however short each is.
+"""
 
 from __future__ import annotations
 
@@ -13,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import lookup, materialise, sliced, table
 
-#: Shorter units are boilerplate, which line dedup takes; passages are longer.
+#: Shorter repeats are boilerplate, which line dedup takes; passages are longer.
 MIN_WORDS = 20
 _BREAK = {"line": re.compile("\n"), "paragraph": re.compile(r"\n[^\S\n]*\n\s*")}
 
@@ -34,19 +39,70 @@ def normalised(text: str) -> str:
     return " ".join(re.findall(r"\w+", text.lower()))
 
 
+def candidates(text: str, unit: str, min_words: int):
+    """(start, end, normalised text) of what is compared: each paragraph of min_words words or more,
+    or the shortest runs of lines that have as many; with unit all, both.
+
+    Lines without words take no part and do not end a run. Of any run of lines that has min_words
+    words, every line lies in a candidate inside the run.
+    """
+    if unit == "paragraph":
+        for start, end in units(text, unit):
+            key = normalised(text[start:end]) if end > start else ""
+            if key and key.count(" ") >= min_words - 1:
+                yield start, end, key
+        return
+    least = max(min_words, 1)
+    spans, keys, sizes, blocks, block = [], [], [], [], 0
+    for start, end in units(text, "line"):
+        key = normalised(text[start:end]) if end > start else ""
+        if key:
+            spans.append((start, end))
+            keys.append(key)
+            sizes.append(key.count(" ") + 1)
+            blocks.append(block)
+        elif not text[start:end].strip():
+            block += 1
+    n, runs = len(keys), set()
+    to, total = 0, 0
+    for at in range(n):
+        while to < n and total < least:
+            total += sizes[to]
+            to += 1
+        if total < least:
+            break
+        runs.add((at, to))
+        total -= sizes[at]
+    at, total = 0, 0
+    for to in range(n):
+        total += sizes[to]
+        while total - sizes[at] >= least:
+            total -= sizes[at]
+            at += 1
+        if total >= least:
+            runs.add((at, to + 1))
+    if unit == "all":
+        at = 0
+        for to in range(1, n + 1):
+            if to == n or blocks[to] != blocks[at]:
+                if sum(sizes[at:to]) >= least:
+                    runs.add((at, to))
+                at = to
+    for at, to in sorted(runs):
+        yield spans[at][0], spans[to - 1][1], " ".join(keys[at:to])
+
+
 def _units_of(docs: DataFrame, unit: str, min_words: int) -> DataFrame:
     def rows(batches):
         for batch in sliced(batches):
             names = batch.schema.names
             owner, digest, starts, ends = [], [], [], []
             for doc, text in zip(batch.column(names.index("doc_id")).to_pylist(), batch.column(names.index("text")).to_pylist(), strict=True):
-                for start, end in units(text or "", unit):
-                    key = normalised(text[start:end]) if end > start else ""
-                    if key.count(" ") >= min_words - 1 and key:
-                        owner.append(doc)
-                        digest.append(xxhash.xxh3_128_digest(key))
-                        starts.append(start)
-                        ends.append(end)
+                for start, end, key in candidates(text or "", unit, min_words):
+                    owner.append(doc)
+                    digest.append(xxhash.xxh3_128_digest(key))
+                    starts.append(start)
+                    ends.append(end)
             pairs = np.frombuffer(b"".join(digest), "<i8").reshape(-1, 2)
             yield pa.record_batch([pa.array(pairs[:, 1].copy()), pa.array(pairs[:, 0].copy()), pa.array(owner, pa.int64()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], names=["hi", "lo", "doc_id", "start", "end"])
 
@@ -57,21 +113,44 @@ def duplicate_units(docs: DataFrame, unit: str = "line", min_words: int = MIN_WO
     """doc_id, start, end, keep_doc_id, keep_start for every unit that goes.
 
     Of units with equal normalised text over all documents the earliest stays, by (doc_id, start);
-    units of fewer than min_words words always stay. Rows that share a doc_id and agree in a unit's
-    place count as one. A row with a null doc_id takes no part. The digests are grouped globally;
-    hot ones are settled by a broadcast of bounded size, all others by a shuffle.
+    what is in no unit of min_words words that repeats always stays. Units are candidates(), which may
+    overlap; of one that overlaps the one that stays, the rest goes. Rows that share a doc_id and agree
+    in a unit's place count as one. A row with a null doc_id takes no part. The digests are grouped
+    globally; hot ones are settled by a broadcast of bounded size, all others by a shuffle.
     """
     every = _units_of(docs, unit, min_words)
-    first = F.min(F.struct("doc_id", "start"))
+    first = F.min(F.struct("doc_id", "start", "end"))
     groups = every.groupBy("hi", "lo").agg(F.count("*").alias("n"), first.alias("first"), F.max(F.struct("doc_id", "start")).alias("last"))
-    keep = materialise(groups.filter("first <> last").select("hi", "lo", "n", F.col("first.doc_id").alias("keep_doc_id"), F.col("first.start").alias("keep_start")))
+    keep = materialise(groups.filter("first.doc_id <> last.doc_id or first.start <> last.start").select("hi", "lo", "n", F.col("first.doc_id").alias("keep_doc_id"), F.col("first.start").alias("keep_start"), F.col("first.end").alias("keep_end")))
     found = lookup(every, keep, ["hi", "lo"], "n")
-    return found.filter("doc_id <> keep_doc_id or start <> keep_start").select("doc_id", "start", "end", "keep_doc_id", "keep_start")
+    gone = found.filter("doc_id <> keep_doc_id or start <> keep_start")
+    after = F.when(F.col("doc_id") == F.col("keep_doc_id"), F.greatest("start", "keep_end")).otherwise(F.col("start"))
+    return gone.withColumn("start", after).filter("start < end").select("doc_id", "start", "end", "keep_doc_id", "keep_start")
+
+
+def _lines_within(text: str, gone: list[tuple[int, int]]):
+    """The lines of the text that lie in one of the spans, sorted by start."""
+    merged = []
+    for start, end in sorted(gone):
+        if merged and start <= merged[-1][1] + 1:
+            merged[-1][1] = max(merged[-1][1], end)
+        else:
+            merged.append([start, end])
+    at = 0
+    for start, end in units(text, "line"):
+        while at < len(merged) and merged[at][1] < end:
+            at += 1
+        if at == len(merged):
+            return
+        if merged[at][0] <= start:
+            yield start, end
 
 
 def substring_dedup(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, n_units, n_removed, n_spans, spans, keep_doc_ids, kept_text: each document without its
-    repeats. keep_doc_ids are the documents that hold what stays of them, sorted.
+    repeats. keep_doc_ids are the documents with the earliest of each unit that goes, sorted; where
+    units overlap, such a document may lose part of its own to a still earlier one. With units line
+    and all, n_units and n_removed count lines, also those without words amid a run that goes.
 
     spans are (start, end) in characters of the original text, so that it can be restored. A unit's
     line break goes with it. Null and empty texts are one empty unit and stay as they are (kept_text
@@ -80,6 +159,7 @@ def substring_dedup(docs: DataFrame, unit: str = "line", min_words: int = MIN_WO
     """
     gone = duplicate_units(docs, unit, min_words).groupBy(F.col("doc_id").alias("key_")).agg(F.collect_set(F.struct("start", "end")).alias("gone_"), F.sort_array(F.collect_set("keep_doc_id")).alias("keep_doc_ids"))
     whole = docs.select("doc_id", "text")
+    breaks = _BREAK["paragraph" if unit == "paragraph" else "line"]
     marked = whole.join(gone, whole["doc_id"].cast("long") == gone["key_"], "left").drop("key_")
 
     def rows(batches):
@@ -90,9 +170,11 @@ def substring_dedup(docs: DataFrame, unit: str = "line", min_words: int = MIN_WO
                 text = text or ""
                 spans, parts, at, chars = [], [], 0, 0
                 lost = {(x["start"], x["end"]) for x in gone or ()}
-                n_units.append(text.count("\n") + 1 if unit == "line" and not lost else sum(1 for _ in units(text, unit)))
+                if unit != "paragraph":
+                    lost = set(_lines_within(text, list(lost)))
+                n_units.append(text.count("\n") + 1 if unit != "paragraph" else sum(1 for _ in units(text, unit)))
                 for start, end in sorted(lost):
-                    stop = _BREAK[unit].match(text, end)
+                    stop = breaks.match(text, end)
                     stop = stop.end() if stop else end
                     parts.append(text[at:start])
                     chars += stop - start
@@ -115,5 +197,5 @@ def substring_dedup(docs: DataFrame, unit: str = "line", min_words: int = MIN_WO
 
 def op1_substring_dedup(spark, sf_dir):
     """The documents that lose something; all others stay as they are."""
-    out = substring_dedup(table(spark, sf_dir, "documents")).filter("n_removed > 0")
+    out = substring_dedup(table(spark, sf_dir, "documents"), "all").filter("n_removed > 0")
     return out.select("doc_id", "n_units", "n_removed", "n_spans", "spans", "keep_doc_ids", F.sha2("kept_text", 256).alias("kept_sha256"))
