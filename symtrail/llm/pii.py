@@ -21,12 +21,23 @@ ROUNDS = 20
 
 _A, _Z = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-_NAME = r"\p{Lu}[\p{L}'’-]+"
+# a word of two letters or more, without the 's of a possessive
+_NAME = r"\p{Lu}(?:\p{L}|['’-](?=\p{L})(?!(?<=['’])[sS](?!\p{L})))+"
+_INITIAL = r"\p{Lu}\.(?:-?\p{Lu}\.)*"
 # Forms of address by the gender that they tell.
 MALE = ("Mr", "Mister", "Sir", "Señor", "Sr", "Don", "Herr", "Monsieur", "Г-н")
 FEMALE = ("Mrs", "Ms", "Miss", "Madam", "Señora", "Sra", "Doña", "Frau", "Madame", "Mme", "Mademoiselle", "Г-жа")
 OTHER = ("Dr", "Prof", "Professor", "Doctor")
 _TITLES = "|".join(sorted((*MALE, *FEMALE, *OTHER), key=len, reverse=True))
+# Small words within surnames.
+PARTICLES = ("van", "von", "der", "den", "de", "del", "della", "di", "da", "do", "dos", "das", "du", "des", "la", "le", "las", "los", "ter", "ten", "te", "zu", "zum", "zur", "af", "av", "bin", "bint", "ibn", "ben", "abu", "al", "el", "y", "e", "d'", "d’")
+_TITLE = rf"(?:(?:{_TITLES})\.? )+"
+_PARTICLES = rf"(?:(?:{'|'.join(sorted(PARTICLES, key=len, reverse=True))}) )*"
+# a single letter without a stop is an initial right after a title, or before one more name word
+_FIRST = rf"(?:{_NAME}|{_INITIAL}|(?!I)\p{{Lu}}(?![\p{{L}}\p{{N}}'’]))"
+_NEXT = rf"(?:(?!(?:{_TITLES})(?!\p{{L}})){_NAME}|{_INITIAL}|\p{{Lu}}(?= \p{{Lu}}\p{{L}}))"
+#: What a further mention of a name word may be.
+_MENTION = rf"{_A}{_NAME}{_Z}"
 
 #: Types in the order in which they are tried, and their patterns.
 PATTERNS = {
@@ -38,7 +49,7 @@ PATTERNS = {
     "ssn": rf"{_A}\d{{3}}-\d{{2}}-\d{{4}}{_Z}",
     "card": rf"{_A}\d(?:[ -]?\d){{12,18}}{_Z}",
     "ip": rf"(?<![\p{{L}}\p{{N}}.])(?:{_OCTET}\.){{3}}{_OCTET}(?![\p{{L}}\p{{N}}]|\.\d)",
-    "name": rf"{_A}(?:{_TITLES})\.? {_NAME}(?: {_NAME})?",
+    "name": rf"{_A}{_TITLE}{_PARTICLES}{_FIRST}(?: {_PARTICLES}{_NEXT})*",
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
@@ -103,14 +114,21 @@ def _card(text: Column, seed: Column) -> Column:
     return F.when(valid, F.concat(F.left(drawn, F.char_length(drawn) - 1), last.cast("string"))).otherwise(drawn)
 
 
+def _is_initial(word: Column) -> Column:
+    return word.rlike(rf"^(?:{_INITIAL}|\p{{Lu}})$")
+
+
 def _name_word(word: Column, seed: Column, gender: Column) -> Column:
-    """A name of about the same length in the word's script; the ending tells the gender."""
+    """A name of about the same length in the word's script; the ending tells the gender. An initial
+    becomes a syllable."""
     latin = word.rlike("^[A-Z]")
     drawn = _scrambled(word, seed)
+    initial = _is_initial(word)
     onset, vowel = "BDFGKLMNPRSTVZ", "aeiou"
-    syllables = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.concat(F.substring(F.lit(onset), 1 + _number(seed, i, len(onset)), F.lit(1)), F.substring(F.lit(vowel), 1 + _number(seed, i + 10, len(vowel)), F.lit(1)))), "")
+    syllables = F.array_join(F.transform(F.sequence(F.lit(0), F.when(initial, 0).otherwise(2)), lambda i: F.concat(F.substring(F.lit(onset), 1 + _number(seed, i, len(onset)), F.lit(1)), F.substring(F.lit(vowel), 1 + _number(seed, i + 10, len(vowel)), F.lit(1)))), "")
     ending = F.when(gender == "f", "na").when(gender == "m", "no").otherwise("n")
-    return F.when(latin, F.concat(F.initcap(F.lower(syllables)), ending)).otherwise(drawn)
+    stop = F.when(word.endswith("."), ".").otherwise("")
+    return F.when(latin & initial, F.concat(F.initcap(F.lower(syllables)), stop)).when(latin, F.concat(F.initcap(F.lower(syllables)), ending)).otherwise(drawn)
 
 
 def surrogate(key: str, kind: Column, gender: Column, attempt: Column) -> Column:
@@ -148,13 +166,14 @@ def _parts(found: DataFrame) -> DataFrame:
 
     entity_ is the normal form: e-mail addresses in lower case, all else as it stands.
     """
-    title = F.regexp_extract("raw_", rf"^(?:{_TITLES})\.? ", 0)
-    bare = F.regexp_replace(F.trim(title), r"\.$", "")
-    gender = F.when(bare.isin(*MALE), "m").when(bare.isin(*FEMALE), "f").otherwise("")
+    title = F.regexp_extract("raw_", f"^{_TITLE}", 0)
+    bare = F.split(F.regexp_replace(F.trim(title), r"\.(?= |$)", ""), " ")
+    holds = lambda some: F.arrays_overlap(bare, F.array(*map(F.lit, some)))
+    gender = F.when(holds(MALE), "m").when(holds(FEMALE), "f").otherwise("")
     each = found.select("tag_", F.posexplode("entities_").alias("at_", "raw_")).withColumn("kind_", kind_of(F.col("raw_")))
-    words = F.when(F.col("kind_") == "name", F.split(F.expr(f"substring(raw_, char_length(regexp_extract(raw_, '^(?:{_TITLES})\\\\.? ', 0)) + 1)"), " ")).otherwise(F.array("raw_"))
+    words = F.when(F.col("kind_") == "name", F.split(F.substring(F.col("raw_"), F.char_length(title) + 1, F.char_length("raw_")), " ")).otherwise(F.array("raw_"))
     rows = each.select("tag_", "at_", "kind_", F.when(F.col("kind_") == "name", gender).otherwise("").alias("title_gender_"), F.when(F.col("kind_") == "name", title).otherwise("").alias("title_"), F.posexplode(words).alias("word_", "raw_"), F.size(words).alias("words_"))
-    given = (F.col("words_") == 2) & (F.col("word_") == 0)  # only a given name tells the gender
+    given = (F.col("words_") >= 2) & (F.col("word_") == 0) & ~F.col("raw_").isin(*PARTICLES) & ~_is_initial(F.col("raw_"))  # only a given name tells the gender
     normal = F.when(F.col("kind_") == "email", F.lower("raw_")).otherwise(F.col("raw_"))
     return rows.select("tag_", "at_", "word_", "kind_", "title_", F.when(given, F.col("title_gender_")).otherwise("").alias("gender_"), normal.alias("entity_"))
 
@@ -179,23 +198,60 @@ def dictionary(parts: DataFrame, key: str = KEY) -> DataFrame:
     return known.select(*same, "n", "surrogate_")
 
 
+def _mentions(found: DataFrame, parts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What else in the same text is a name word that stands after a title there: the parts, where a
+    word has one gender a text; the pieces between entities, tag_, at_, piece_, of texts with names;
+    and their capitalised words, tag_, at_, word_, raw_, with entity_ and gender_ of mentions.
+
+    A mention may come before the title as well, or be in capitals. Initials and particles alone are
+    no mentions.
+    """
+    is_name = (F.col("kind_") == "name") & ~_is_initial(F.col("entity_")) & ~F.col("entity_").isin(*PARTICLES)
+    known = parts.filter(is_name).groupBy("tag_", F.lower("entity_").alias("key_")).agg(F.max("gender_").alias("own_gender_"), F.min("entity_").alias("own_"))
+    known = materialise(known)
+    one = parts.withColumn("key_", F.when(is_name, F.lower("entity_"))).join(known.drop("own_"), ["tag_", "key_"], "left")
+    one = one.withColumn("gender_", F.coalesce("own_gender_", "gender_")).drop("key_", "own_gender_")
+    named = found.join(known.select("tag_").distinct(), "tag_", "left_semi")
+    pieces = named.select("tag_", F.posexplode("between_").alias("at_", "piece_"))
+    words = pieces.select("tag_", "at_", F.posexplode(F.regexp_extract_all("piece_", F.lit(_MENTION), F.lit(0))).alias("word_", "raw_")).withColumn("key_", F.lower("raw_"))
+    words = words.join(known, ["tag_", "key_"], "left").select("tag_", "at_", "word_", "raw_", F.col("own_").alias("entity_"), F.col("own_gender_").alias("gender_"))
+    return one, pieces, materialise(words)
+
+
 def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
     """doc_id, n_entities, kinds, text: the rows of docs that hold entities, with surrogates in place.
 
-    kinds lists the types found, sorted. Rows without entities, null and empty texts give no row.
+    kinds lists the types found, sorted. Each further mention of a name word counts as one more entity.
+    Rows without entities, null and empty texts give no row.
     Repeated rows give repeated results; null doc_ids are rows like any other; columns other than
     doc_id and text are ignored. The entities of a text are replaced together, so lengths may change
-    and nothing is replaced twice.
+    and nothing is replaced twice. Particles of names stay.
     """
     found = materialise(_found(docs))
-    parts = materialise(_parts(found))
+    parts, pieces, words = _mentions(found, materialise(_parts(found)))
     same = ["kind_", "gender_", "entity_"]
-    placed = lookup(parts, dictionary(parts, key), same, "n")
-    entity = placed.groupBy("tag_", "at_").agg(F.max("kind_").alias("kind_"), F.concat(F.max("title_"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_", "surrogate_"))), lambda x: x["surrogate_"]), " ")).alias("new_"))
+    again = words.filter("entity_ is not null").select("tag_", "at_", "word_", F.lit("name").alias("kind_"), F.lit("").alias("title_"), "gender_", "entity_", "raw_")
+    every = materialise(parts.withColumn("raw_", F.lit(None).cast("string")).unionByName(again))
+    particle = (F.col("kind_") == "name") & F.col("entity_").isin(*PARTICLES)
+    drawn = every.filter(~particle)
+    placed = lookup(drawn, dictionary(drawn, key), same, "n")
+    placed = materialise(placed.unionByName(every.filter(particle).withColumn("n", F.lit(0).cast("long")).withColumn("surrogate_", F.col("entity_"))))
+    entity = placed.filter("raw_ is null").groupBy("tag_", "at_").agg(F.max("kind_").alias("kind_"), F.concat(F.max("title_"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_", "surrogate_"))), lambda x: x["surrogate_"]), " ")).alias("new_"))
     texts = entity.groupBy("tag_").agg(F.transform(F.array_sort(F.collect_list(F.struct("at_", "new_"))), lambda x: x["new_"]).alias("new_"), F.sort_array(F.collect_set("kind_")).alias("kinds"))
-    joined = found.join(texts, "tag_")
-    text = F.array_join(F.flatten(F.zip_with("between_", F.concat("new_", F.array(F.lit(""))), lambda a, b: F.array(a, b))), "")
-    return joined.select("doc_id", F.size("entities_").cast("long").alias("n_entities"), "kinds", text.alias("text"))
+    capitals = (F.col("raw_") == F.upper("raw_")) & (F.col("raw_") != F.col("entity_"))
+    mention = placed.filter("raw_ is not null").select("tag_", "at_", "word_", F.when(capitals, F.upper("surrogate_")).otherwise(F.col("surrogate_")).alias("new_"))
+    put = words.select("tag_", "at_", "word_", "raw_").join(mention, ["tag_", "at_", "word_"], "left")
+    put = put.groupBy("tag_", "at_").agg(F.transform(F.array_sort(F.collect_list(F.struct("word_", F.coalesce("new_", "raw_").alias("new_")))), lambda x: x["new_"]).alias("put_"), F.count("new_").alias("mentions_"))
+    joined_piece = _woven(F.split("piece_", _MENTION, -1), F.coalesce("put_", F.array().cast("array<string>")))
+    whole = pieces.join(put, ["tag_", "at_"], "left").groupBy("tag_").agg(F.transform(F.array_sort(F.collect_list(F.struct("at_", joined_piece.alias("piece_")))), lambda x: x["piece_"]).alias("pieces_"), F.sum("mentions_").alias("mentions_"))
+    joined = found.join(texts, "tag_").join(whole, "tag_", "left")
+    n = F.size("entities_").cast("long") + F.coalesce("mentions_", F.lit(0))
+    return joined.select("doc_id", n.alias("n_entities"), "kinds", _woven(F.coalesce("pieces_", "between_"), F.col("new_")).alias("text"))
+
+
+def _woven(between: Column, put: Column) -> Column:
+    """The texts of `between` with those of `put`, one fewer, between them."""
+    return F.array_join(F.flatten(F.zip_with(between, F.concat(put, F.array(F.lit(""))), lambda a, b: F.array(a, b))), "")
 
 
 def op8_pii_surrogates(spark, sf_dir):
