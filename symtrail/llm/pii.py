@@ -5,7 +5,8 @@ alone, so it is the same wherever the entity stands. It keeps the format: digits
 stay letters of their script and case, separators and public prefixes stay, a card number that passes
 the Luhn check has a surrogate that does, and names keep gender and script. Surrogates of different
 entities are compared over the whole corpus; where two agree, or one is itself a real entity, the
-later entity gets its next surrogate, until all are distinct.
+later entity gets its next surrogate, until all are distinct. Names, secrets and e-mail addresses, of
+which short ones have few surrogates, get longer ones every few draws.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from .common import lookup, materialise, table, whole_text
 KEY = "surrogates"
 #: Rounds in which surrogates that collide are drawn anew; each leaves a tiny share of the last.
 ROUNDS = 20
+#: After so many draws of an entity its surrogate gets one more letter or syllable.
+DRAWS_A_LENGTH = 3
 
 _A, _Z = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
@@ -118,14 +121,14 @@ def _is_initial(word: Column) -> Column:
     return word.rlike(rf"^(?:{_INITIAL}|\p{{Lu}})$")
 
 
-def _name_word(word: Column, seed: Column, gender: Column) -> Column:
-    """A name of about the same length in the word's script; the ending tells the gender. An initial
-    becomes a syllable."""
+def _name_word(word: Column, seed: Column, gender: Column, more: Column) -> Column:
+    """A name of about the same length in the word's script, or `more` syllables or letters longer;
+    the ending tells the gender. An initial becomes a syllable."""
     latin = word.rlike("^[A-Z]")
-    drawn = _scrambled(word, seed)
+    drawn = _scrambled(F.concat(word, F.repeat(F.lower(F.regexp_extract(word, r"(\p{L})\P{L}*$", 1)), more)), seed)
     initial = _is_initial(word)
     onset, vowel = "BDFGKLMNPRSTVZ", "aeiou"
-    syllables = F.array_join(F.transform(F.sequence(F.lit(0), F.when(initial, 0).otherwise(2)), lambda i: F.concat(F.substring(F.lit(onset), 1 + _number(seed, i, len(onset)), F.lit(1)), F.substring(F.lit(vowel), 1 + _number(seed, i + 10, len(vowel)), F.lit(1)))), "")
+    syllables = F.array_join(F.transform(F.sequence(F.lit(0), F.when(initial, 0).otherwise(2) + more), lambda i: F.concat(F.substring(F.lit(onset), 1 + _number(seed, i, len(onset)), F.lit(1)), F.substring(F.lit(vowel), 1 + _number(seed, i + 10, len(vowel)), F.lit(1)))), "")
     ending = F.when(gender == "f", "na").when(gender == "m", "no").otherwise("n")
     stop = F.when(word.endswith("."), ".").otherwise("")
     return F.when(latin & initial, F.concat(F.initcap(F.lower(syllables)), stop)).when(latin, F.concat(F.initcap(F.lower(syllables)), ending)).otherwise(drawn)
@@ -135,6 +138,8 @@ def surrogate(key: str, kind: Column, gender: Column, attempt: Column) -> Column
     """The surrogate of the normal form in column entity_: kept apart by key, type and attempt."""
     entity = F.col("entity_")
     seed = F.sha2(F.concat_ws("\x1f", F.lit(key), kind, entity, attempt.cast("string")), 256)
+    more = F.floor(attempt / DRAWS_A_LENGTH).cast("int")
+    longer = F.repeat(F.lit("a"), more)
     plus = F.regexp_extract(entity, r"^\+\d{1,3}", 0)
     prefix = F.regexp_extract(entity, r"^[^=:]*[=:]\s*[\"']?", 0)
     value = F.substring(entity, F.char_length(prefix) + 1, F.char_length(entity))
@@ -142,14 +147,14 @@ def surrogate(key: str, kind: Column, gender: Column, attempt: Column) -> Column
     tail = F.right(entity, at)
     octets = F.array_join(F.transform(F.split(entity, r"\."), lambda o, i: (1 + _number(seed, i, 254)).cast("string")), ".")
     return (
-        F.when(kind == "email", F.concat(_scrambled(F.left(entity, F.char_length(entity) - at), seed), tail))
-        .when(kind == "secret", F.concat(prefix, _scrambled(value, seed, F.lower(value).rlike("^[0-9a-f]+[\"']?$"))))
+        F.when(kind == "email", F.concat(_scrambled(F.concat(longer, F.left(entity, F.char_length(entity) - at)), seed), tail))
+        .when(kind == "secret", F.concat(prefix, _scrambled(F.concat(longer, value), seed, F.lower(value).rlike("^[0-9a-f]+[\"']?$"))))
         .when(kind == "access_key", F.concat(F.left(entity, F.lit(4)), _scrambled(F.expr("substring(entity_, 5)"), seed)))
         .when(kind == "iban", F.concat(F.left(entity, F.lit(2)), _scrambled(F.expr("substring(entity_, 3)"), seed)))
         .when(kind == "phone", F.concat(plus, _scrambled(F.substring(entity, F.char_length(plus) + 1, F.char_length(entity)), seed)))
         .when(kind == "card", _card(entity, seed))
         .when(kind == "ip", octets)
-        .when(kind == "name", _name_word(entity, seed, gender))
+        .when(kind == "name", _name_word(entity, seed, gender, more))
         .otherwise(_scrambled(entity, seed))
     )
 
@@ -180,12 +185,13 @@ def _parts(found: DataFrame) -> DataFrame:
 
 def dictionary(parts: DataFrame, key: str = KEY) -> DataFrame:
     """kind_, gender_, entity_, n, surrogate_: one row for each distinct entity, surrogates distinct
-    within a type and none of them an entity of that type."""
+    within a type and none of them an entity of that type. Raises if ROUNDS redraws leave some that
+    are not."""
     same = ["kind_", "gender_", "entity_"]
     drawn = lambda rows: rows.withColumn("surrogate_", surrogate(key, F.col("kind_"), F.col("gender_"), F.col("attempt_")))
     known = materialise(drawn(parts.groupBy(*same).agg(F.count("*").alias("n")).withColumn("attempt_", F.lit(0))))
     real = known.select("kind_", F.col("entity_").alias("surrogate_")).distinct()
-    for _ in range(ROUNDS):
+    for drawn_again in range(ROUNDS + 1):
         first = known.groupBy("kind_", "surrogate_").agg(F.min(F.struct("attempt_", *same)).alias("first_"), F.count("*").alias("sharing_"))
         shared = first.filter("sharing_ > 1")
         again = known.join(shared, ["kind_", "surrogate_"]).filter(F.struct("attempt_", *same) != F.col("first_")).select(*same)
@@ -193,6 +199,8 @@ def dictionary(parts: DataFrame, key: str = KEY) -> DataFrame:
         redo = materialise(again.unionByName(taken).distinct())
         if redo.isEmpty():
             break
+        if drawn_again == ROUNDS:
+            raise RuntimeError(f"surrogates of {redo.count()} entities are not distinct after {ROUNDS} redraws")
         moved = drawn(known.join(redo, same, "left_semi").withColumn("attempt_", F.col("attempt_") + 1))
         known = materialise(known.join(redo, same, "left_anti").unionByName(moved))
     return known.select(*same, "n", "surrogate_")
