@@ -207,7 +207,7 @@ def search_ranked(f):
 
 @query(f"SELECT {_SYM_SQL} FROM symbols WHERE list_contains(list_transform(regexp_split_to_array(lower(name || ' ' || qualified), '[^a-z0-9_]+'), lambda w: starts_with(w, 'hot')), true)")
 def fts_prefix(f):
-    return search.search_text(f.symbols, "hot*", 1_000_000).select(*SYM)
+    return search.search_text(f.symbols, "hot*", None).select(*SYM)
 
 
 @query()
@@ -413,9 +413,15 @@ def importance_score(f):
 CASE WHEN s.kind = 'module' THEN 5 WHEN s.kind IN ('class', 'interface') THEN 4 WHEN s.kind IN ('record', 'union') THEN 3 ELSE 1 END DESC, c.total_refs DESC, s.qualified, s.id) AS place
 FROM symbols s JOIN counts c USING (qualified)) WHERE place <= 5 AND file IN (SELECT DISTINCT file FROM symbols ORDER BY file LIMIT 10)""")
 def rank_per_file(f):
+    """Of the ten files that the SQL covers; rank_per_file_all takes every file."""
     return rank.rank_per_file(f.symbols, f.refs, 5, 10).select("file", "qualified", "id", F.col("place").cast("long").alias("place"))
 
 
+@query()
+def rank_per_file_all(f):
+    return rank.rank_per_file(f.symbols, f.refs, 5).select("file", "qualified", "id", F.col("place").cast("long").alias("place"))
+
+
 @query(_COUNTS_SQL + f""" SELECT file, count(*) AS n, max(file_diversity) AS best FROM (SELECT r.*, (SELECT arg_min(file, id) FROM symbols s WHERE s.qualified = r.qualified) AS file FROM ranked r
 ORDER BY file_diversity DESC, {_KIND_SQL} DESC, {_VIS_SQL} DESC, total_refs DESC, qualified LIMIT 50) GROUP BY file""")
 def project_map_summary(f):

@@ -18,9 +18,10 @@ def matching(symbols: DataFrame, pattern: str, language: str | None = None) -> D
     return found if language is None else found.filter(F.col("language") == language)
 
 
-def search(symbols: DataFrame, pattern: str, limit: int, language: str | None = None) -> DataFrame:
+def search(symbols: DataFrame, pattern: str, limit: int | None, language: str | None = None) -> DataFrame:
     """Names or qualified names that match a glob, in the order in which they were added."""
-    return matching(symbols, pattern, language).orderBy("id").limit(limit)
+    found = matching(symbols, pattern, language).orderBy("id")
+    return found if limit is None else found.limit(limit)
 
 
 def tokens(text: Column) -> Column:
@@ -30,11 +31,11 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.translate(F.lower(text), marked, plain), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
 
 
-def search_words(symbols: DataFrame, query: str, limit: int, language: str | None = None, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def search_words(symbols: DataFrame, query: str, limit: int | None, language: str | None = None, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """Symbols whose names hold every term of the query, best first by BM25 over (name, qualified).
 
     A term that ends in `*` is a prefix; text in double quotes is a phrase. Ranks are positive,
-    larger is better; ties go by id.
+    larger is better; ties go by id. Without a limit, all of them.
     """
     phrases = [p.split() for p in query.split('"')[1::2]]
     terms = [w.lower() for part in query.split('"')[::2] for w in part.split()]
@@ -65,10 +66,11 @@ def search_words(symbols: DataFrame, query: str, limit: int, language: str | Non
         score = score + F.greatest(idf, F.lit(1e-6)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("size") / F.col("mean")))
     found = counted.filter(every) if language is None else counted.filter(every & (F.col("language") == language))
     ranked = found.join(F.broadcast(stats), F.lit(True)).select("id", score.alias("rank"))
-    return symbols.join(ranked, "id").orderBy(F.desc("rank"), "id").limit(limit)
+    best = symbols.join(ranked, "id").orderBy(F.desc("rank"), "id")
+    return best if limit is None else best.limit(limit)
 
 
-def search_text(symbols: DataFrame, pattern: str, limit: int, language: str | None = None) -> DataFrame:
+def search_text(symbols: DataFrame, pattern: str, limit: int | None, language: str | None = None) -> DataFrame:
     """Full text: a word means a prefix, `word*` too; a star elsewhere falls back to the pattern."""
     if "*" in pattern[:-1]:
         return search(symbols, pattern, limit, language)
