@@ -2,45 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import history, stack, text
-from .operators import editor, graph, incremental, lookup, rank, refs, resolve, search
-from .plans.adapters import FACTS_SQL, Facts, read, star_facts, watch_events
+from .operators import editor, graph, incremental, lookup, rank, refs, search
+from .plans.adapters import Facts, read, star_facts, watch_events
+from .registry import ENTRY_SQL, oracle_sql, queries, query
 from .streaming import watch
+from . import catalog_resolve  # noqa: F401  (registers its queries)
+
+__all__ = ["oracle_sql", "queries"]
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
-ENTRY_SQL = "(SELECT qualified FROM symbols WHERE id = 0)"
 #: qualified, sym columns that most answers show.
 SYM = ["id", "name", "qualified", "kind", "file", "line"]
 _SYM_SQL = "id, name, qualified, kind, file, line"
 
 
-def query(sql: str | None = None, facts: bool = True):
-    """Register a function of the facts (or of spark and sf_dir) under its name, with its SQL."""
-
-    def add(f):
-        name = f.__name__
-        _QUERIES[name] = (lambda spark, sf_dir: f(star_facts(spark, sf_dir))) if facts else f
-        if sql is not None:
-            _SQL[name] = FACTS_SQL + sql
-        return f
-
-    return add
-
-
-def queries():
-    return dict(_QUERIES)
-
-
-def oracle_sql():
-    return dict(_SQL)
-
-
 def _entry(f: Facts) -> str:
     return f.symbols.filter("id = 0").first()["qualified"]
 
@@ -118,13 +96,13 @@ def visible_files(f):
     return lookup.visible_files(f.symbols.select(F.col("file").alias("path")), f.order, "src/Brand_9.py")
 
 
-@query("""SELECT a.file AS from_file, b.file AS to_file, coalesce(y.ord < x.ord, true) AS can_reference
-FROM (SELECT DISTINCT file FROM symbols) a JOIN (SELECT DISTINCT file FROM symbols) b ON true
-LEFT JOIN file_order x ON x.path = a.file LEFT JOIN file_order y ON y.path = b.file""")
+@query("""SELECT p.from_file, p.to_file, coalesce(y.ord < x.ord, true) AS can_reference
+FROM (SELECT DISTINCT r.file AS from_file, s.file AS to_file FROM refs r JOIN symbols s ON s.qualified = r.name) p
+LEFT JOIN file_order x ON x.path = p.from_file LEFT JOIN file_order y ON y.path = p.to_file""")
 def can_reference(f):
-    files = f.symbols.select("file").distinct()
-    pairs = files.select(F.col("file").alias("from_file")).join(F.broadcast(files.select(F.col("file").alias("to_file"))), F.lit(True))
-    return lookup.can_reference(pairs, f.order)
+    """For each file and every file with a symbol that it refers to."""
+    named, homes = f.refs.select("name", F.col("file").alias("from_file")).distinct(), f.symbols.select(F.col("qualified").alias("name"), F.col("file").alias("to_file")).distinct()
+    return lookup.can_reference(named.join(homes, "name").select("from_file", "to_file").distinct(), f.order)
 
 
 @query(f"SELECT {_SYM_SQL}, parent FROM symbols WHERE parent IN ('PROMO', '::PROMO')")
@@ -210,9 +188,14 @@ def fts_prefix(f):
     return search.search_text(f.symbols, "hot*", None).select(*SYM)
 
 
-@query()
+@query(f""", worded AS (SELECT *, list_filter(regexp_split_to_array(lower(name), '[^a-z0-9_]+') || regexp_split_to_array(lower(qualified), '[^a-z0-9_]+'), lambda w: w <> '') AS words FROM symbols),
+counted AS (SELECT *, len(words) AS size, len(list_filter(words, lambda w: w = 'promo')) AS c0, len(list_filter(words, lambda w: starts_with(w, 'brand_1'))) AS c1 FROM worded),
+stats AS (SELECT count(*) AS n, avg(size) AS mean, count(*) FILTER (c0 > 0) AS df0, count(*) FILTER (c1 > 0) AS df1 FROM counted),
+scored AS (SELECT {_SYM_SQL}, greatest(ln((n - df0 + 0.5) / (df0 + 0.5)), 1e-6) * c0 * 2.2 / (c0 + 1.2 * (0.25 + 0.75 * size / mean))
+  + greatest(ln((n - df1 + 0.5) / (df1 + 0.5)), 1e-6) * c1 * 2.2 / (c1 + 1.2 * (0.25 + 0.75 * size / mean)) AS rank FROM counted, stats WHERE c0 > 0 AND c1 > 0)
+SELECT {_SYM_SQL}, round(CAST(rank AS DOUBLE), 6) AS rank FROM scored""")
 def fts_bm25(f):
-    return search.search_words(f.symbols, "promo brand_1*", 100).select(*SYM, F.round("rank", 6).alias("rank"))
+    return search.search_words(f.symbols, "promo brand_1*", None).select(*SYM, F.round("rank", 6).alias("rank"))
 
 
 @query(f"""SELECT {_SYM_SQL}, least(levenshtein('hot_gaer', name), levenshtein('hot_gaer', qualified)) AS distance FROM symbols
@@ -348,7 +331,12 @@ def spider_files(f):
     return graph.files_touched(graph.spider(f.symbols, f.refs, f.opens, _entry(f), 1), f.symbols)
 
 
-@query()
+@query(_EDGES_SQL + """, home AS (SELECT qualified, arg_max(file, id) AS file FROM symbols GROUP BY 1), known_edges AS (SELECT file, target FROM edges WHERE target IS NOT NULL),
+w0 AS (SELECT min(id) AS root, qualified AS q FROM symbols WHERE file = 'src/Brand_7.py' GROUP BY 2),
+w1 AS (SELECT DISTINCT root, target AS q FROM w0 JOIN home ON qualified = q JOIN known_edges USING (file) WHERE (root, target) NOT IN (SELECT (root, q) FROM w0)),
+w2 AS (SELECT DISTINCT root, target AS q FROM (SELECT DISTINCT root, file FROM w1 JOIN home ON qualified = q) JOIN known_edges USING (file)),
+walks AS (SELECT root, q, 0 AS depth FROM w0 UNION ALL SELECT root, q, 1 FROM w1 UNION ALL SELECT root, q, 2 FROM w2), least AS (SELECT root, q, min(depth) AS depth FROM walks GROUP BY 1, 2)
+SELECT q AS qualified, arg_min(depth, root) AS depth FROM least GROUP BY 1""")
 def spider_from_file(f):
     return graph.spider_from_file(f.symbols, f.refs, f.opens, "src/Brand_7.py", 2)
 
@@ -374,7 +362,9 @@ def rename_plan(f):
     return graph.rename_plan(f.symbols, f.refs, _entry(f), "renamed").withColumn("column", F.col("column").cast("int"))
 
 
-@query()
+@query(_EDGES_SQL + """, asked AS (SELECT * FROM edges WHERE file = 'src/Brand_7.py' AND target IS NOT NULL AND name NOT IN (SELECT qualified FROM symbols))
+SELECT DISTINCT regexp_extract(target, '^(.*)[.][^.]*$', 1) AS module FROM asked
+WHERE contains(target, '.') AND regexp_extract(target, '^(.*)[.][^.]*$', 1) NOT IN (SELECT module_path FROM opens WHERE file = 'src/Brand_7.py')""")
 def missing_opens(f):
     return graph.missing_opens(f.symbols, f.opens, f.refs, "src/Brand_7.py")
 
@@ -411,14 +401,8 @@ def importance_score(f):
 
 @query(_COUNTS_SQL + """ SELECT file, qualified, id, place FROM (SELECT s.file, s.qualified, s.id, row_number() OVER (PARTITION BY s.file ORDER BY c.file_diversity DESC,
 CASE WHEN s.kind = 'module' THEN 5 WHEN s.kind IN ('class', 'interface') THEN 4 WHEN s.kind IN ('record', 'union') THEN 3 ELSE 1 END DESC, c.total_refs DESC, s.qualified, s.id) AS place
-FROM symbols s JOIN counts c USING (qualified)) WHERE place <= 5 AND file IN (SELECT DISTINCT file FROM symbols ORDER BY file LIMIT 10)""")
+FROM symbols s JOIN counts c USING (qualified)) WHERE place <= 5""")
 def rank_per_file(f):
-    """Of the ten files that the SQL covers; rank_per_file_all takes every file."""
-    return rank.rank_per_file(f.symbols, f.refs, 5, 10).select("file", "qualified", "id", F.col("place").cast("long").alias("place"))
-
-
-@query()
-def rank_per_file_all(f):
     return rank.rank_per_file(f.symbols, f.refs, 5).select("file", "qualified", "id", F.col("place").cast("long").alias("place"))
 
 
@@ -521,22 +505,15 @@ _frames("rust", "%d: app::u%d::go", "concat('app::u', event_id, '::go')", "NULL:
 _frames("go", "/app/u%d.go:%d +0x1d", "'<location>'", "concat('/app/u', user_id, '.go')", "CAST(event_id AS INT)", "true")
 
 
-@query(_CONTAINED_SQL + _CALLERS_SQL + """, frames AS (SELECT event_id AS trace_id, replace(s.qualified, '.', '.') AS symbol FROM events e JOIN symbols s ON s.id = e.event_id % 50 WHERE event_type = 'error' AND event_id < 2000)
-SELECT trace_id, symbol, symbol AS defined_as, (SELECT count(DISTINCT container) FROM pairs p WHERE p.target = symbol AND container <> target) AS callers FROM frames""", facts=False)
+@query(_CONTAINED_SQL + _CALLERS_SQL + """, frames AS (SELECT event_id AS trace_id, s.qualified AS symbol FROM events e JOIN symbols s ON s.id = e.event_id % (SELECT count(*) FROM part) WHERE event_type = 'error'),
+called AS (SELECT target, count(DISTINCT container) AS callers FROM pairs WHERE container <> target GROUP BY target)
+SELECT trace_id, symbol, symbol AS defined_as, coalesce(c.callers, 0) AS callers FROM frames LEFT JOIN called c ON c.target = symbol""", facts=False)
 def analyze_stacktrace(spark, sf_dir):
-    """The ids that the SQL covers; analyze_stacktrace_all takes every error event."""
-    return _analysed(spark, sf_dir, "event_type = 'error' and event_id < 2000")
-
-
-@query(None, facts=False)
-def analyze_stacktrace_all(spark, sf_dir):
-    return _analysed(spark, sf_dir, "event_type = 'error'")
-
-
-def _analysed(spark: SparkSession, sf_dir: str, errors: str) -> DataFrame:
+    """The trace of every error event; events take turns at the symbols that they name."""
     f = star_facts(spark, sf_dir)
-    e = read(spark, sf_dir, "events").filter(errors).withColumn("id", F.col("event_id") % 50)
-    traces = e.join(F.broadcast(f.symbols.filter("id < 50").select("id", "qualified")), "id").select(F.col("event_id").alias("trace_id"), F.concat(F.lit("Error: x\nat "), "qualified", F.lit("(Main.java:3)")).alias("text"))
+    parts = f.symbols.agg(F.count("*").alias("parts_"))
+    e = read(spark, sf_dir, "events").filter("event_type = 'error'").join(F.broadcast(parts), F.lit(True)).withColumn("id", F.col("event_id") % F.col("parts_"))
+    traces = e.join(f.symbols.select("id", "qualified"), "id").select(F.col("event_id").alias("trace_id"), F.concat(F.lit("Error: x\nat "), "qualified", F.lit("(Main.java:3)")).alias("text"))
     frames = stack.parse_traces(traces).filter("frame is not null").select("trace_id", "frame.symbol")
     return graph.analyse_frames(frames, f.symbols, f.refs).select("trace_id", "symbol", "defined_as", "callers")
 
@@ -582,35 +559,6 @@ def doctor(f):
     return editor.health(f.symbols, lookup.distinct_files(f.symbols).select(F.col("file").alias("path")))
 
 
-# --- resolution ----------------------------------------------------------------------------------
-
-
-def _resolver(language: str) -> None:
-    def run(f):
-        wanted = f.refs.select("name", F.col("file").alias("from_file")).distinct()
-        return resolve.resolve(wanted, f.symbols, f.opens, language).select("name", "from_file", "qualified", "resolution")
-
-    run.__name__ = f"resolve_{language}"
-    query(_RESOLVE_SQL.get(language))(run)
-
-
-_EXACT = "SELECT w.name, w.file AS from_file, w.name AS qualified, 0 AS prio, 0 AS ord, 'Qualified' AS resolution FROM wanted w WHERE w.name IN (SELECT qualified FROM symbols)"
-_SAME = "SELECT w.name, w.file, s.qualified, 1, s.id, 'SameModule' FROM wanted w JOIN symbols s ON s.file = w.file AND s.name = w.name"
-_OPENS = "SELECT w.name, w.file, o.module_path || '.' || w.name, 2, o.ord, 'ViaOpen' FROM wanted w JOIN opens o ON o.file = w.file WHERE o.module_path || '.' || w.name IN (SELECT qualified FROM symbols)"
-_PICK = ", wanted AS (SELECT DISTINCT name, file FROM refs), c AS ({}) SELECT name, from_file, arg_min(qualified, {{'p': prio, 'o': ord, 'q': qualified}}) AS qualified, arg_min(resolution, {{'p': prio, 'o': ord, 'q': qualified}}) AS resolution FROM c GROUP BY 1, 2"
-_RESOLVE_SQL = {
-    "c": _PICK.format(" UNION ALL ".join((_EXACT, _SAME))),
-    "objc": _PICK.format(" UNION ALL ".join((_EXACT, _SAME))),
-    "swift": _PICK.format(" UNION ALL ".join((_EXACT, _SAME, _OPENS))),
-    "haxe": _PICK.format(" UNION ALL ".join((_EXACT, _SAME, _OPENS))),
-    "python": _PICK.format(" UNION ALL ".join((_EXACT, _OPENS))),
-    "typescript": _PICK.format(" UNION ALL ".join((_EXACT, _OPENS.replace("2,", "1,"), _SAME.replace("1,", "2,")))),
-    "javascript": _PICK.format(" UNION ALL ".join((_EXACT, _OPENS.replace("2,", "1,"), _SAME.replace("1,", "2,")))),
-}
-for _language in resolve.RULES:
-    _resolver(_language)
-
-
 # --- events --------------------------------------------------------------------------------------
 
 _MOVES_SQL = """, moves AS (SELECT ts, seq, 0 AS part, CASE WHEN op IN ('Deleted', 'Renamed') THEN 'delete' ELSE 'update' END AS action, path FROM watch_events

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..scratch import materialise
 from .lookup import can_reference
-from .refs import containing_symbol, references_to
+from .refs import containing_symbol, references_any, references_to, target_keys, with_keys
+from .search import cascade, search, suggest_similar
 
 
 def _visible(candidates: DataFrame, order: DataFrame | None) -> DataFrame:
@@ -30,12 +31,25 @@ def _grams(text):
     return F.array_distinct(F.concat(of(1), of(2), of(3)))
 
 
+def _by_rarest_gram(names: DataFrame, indexed: DataFrame) -> DataFrame:
+    """query, gram: each query with its gram that the fewest symbols hold; none if some gram is in no
+    symbol, as then nothing contains the query."""
+    low, n = F.lower("query"), F.char_length("query")
+    width = F.least(n, F.lit(3))
+    grams = F.transform(F.sequence(F.lit(1), n - width + 1), lambda i: F.substring(low, i, width))
+    own = materialise(names.filter(n > 0).select("query", F.explode(F.array_distinct(grams)).alias("gram")))
+    held = indexed.join(own.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("held"))
+    best = own.join(held, "gram", "left").groupBy("query").agg(F.min_by("gram", F.struct("held", "gram")).alias("gram"), F.count_if(F.isnull("held")).alias("absent"))
+    return best.filter("absent = 0").select("query", "gram")
+
+
 def resolve_refs(symbols: DataFrame, opens: DataFrame, refs: DataFrame, order: DataFrame | None = None) -> DataFrame:
     """file, name, target for each distinct ref of a file: the symbol that it means, null for none.
 
     First the name itself, then each import of the file joined to it by a dot, in order, then the
     first hit of the ranked search. The last is a search for a substring; it runs only for distinct
-    names that the first two leave, as an equality join on a gram with the rule as a residual.
+    names that the first two leave, as an equality join on the name's rarest gram with the rule as a
+    residual.
     """
     wanted = refs.select(F.col("file").alias("from_file"), "name").distinct()
     last = symbols.groupBy("qualified").agg(F.max_by("file", "id").alias("to_file"))
@@ -47,9 +61,9 @@ def resolve_refs(symbols: DataFrame, opens: DataFrame, refs: DataFrame, order: D
     found = materialise(exact.unionByName(joined).groupBy("from_file", "name").agg(F.min_by("target", F.struct("prio", "ord", "target")).alias("target")))
     left = materialise(wanted.join(found, ["from_file", "name"], "left_anti"))
     low = F.lower("query")
-    names = left.select(F.col("name").alias("query")).distinct().withColumn("gram", F.substring(low, 1, 3))
     text = F.lower(F.concat_ws("\n", "name", "qualified"))
     indexed = symbols.select("id", "name", "qualified", F.col("file").alias("to_file"), F.explode(_grams(text)).alias("gram"))
+    names = _by_rarest_gram(left.select(F.col("name").alias("query")).distinct(), indexed)
     hit = F.lower("name").startswith(low) | F.lower("qualified").contains(low)
     best = F.struct(F.lower("name") != low, ~F.lower("name").startswith(low), F.octet_length("name"), "qualified", "id")
     hits = names.join(indexed, "gram").filter(hit).withColumn("best", best)
@@ -79,36 +93,62 @@ def _walk(seeds: DataFrame, step: Callable[[DataFrame], DataFrame], max_depth: i
     return seen
 
 
-def _forward(symbols: DataFrame, edges: DataFrame):
+def _forward(symbols: DataFrame, refs: DataFrame, opens: DataFrame, order: DataFrame | None):
+    """The step of a forward walk: all refs of the files that define the level's nodes, resolved. Only
+    files that the walk comes to are ever resolved, each once for a root."""
     last = symbols.groupBy("qualified").agg(F.max_by("file", "id").alias("file"))
-    return lambda level: level.join(last, "qualified").select("root", "file").distinct().join(edges.filter("target is not null"), "file").select("root", F.col("target").alias("qualified"))
+    done: list[DataFrame] = []
+
+    def step(level: DataFrame) -> DataFrame:
+        files = level.join(last, "qualified").select("root", "file").distinct()
+        for before in done:
+            files = files.join(before, ["root", "file"], "left_anti")
+        files = materialise(files)
+        done.append(files)
+        own = refs.join(files.select("file").distinct(), "file", "left_semi")
+        edges = resolve_refs(symbols, opens, own, order).filter("target is not null")
+        return files.join(edges, "file").select("root", F.col("target").alias("qualified"))
+
+    return step
 
 
 def spider(symbols: DataFrame, refs: DataFrame, opens: DataFrame, entry: str, max_depth: int, order: DataFrame | None = None) -> DataFrame:
     """qualified, depth: what the entry depends on. A node's dependencies are all refs of the file
     that defines it (of overloads, the last one). Nothing if the entry is not defined."""
-    edges = materialise(resolve_refs(symbols, opens, refs, order))
     seeds = symbols.filter(F.col("qualified") == entry).select(F.lit(0).alias("root"), "qualified")
-    return _walk(seeds, _forward(symbols, edges), max_depth).select("qualified", "depth")
+    return _walk(seeds, _forward(symbols, refs, opens, order), max_depth).select("qualified", "depth")
 
 
 def spider_unresolved(symbols: DataFrame, refs: DataFrame, opens: DataFrame, entry: str, max_depth: int, order: DataFrame | None = None) -> DataFrame:
     """name: the refs that resolve to nothing, of all nodes that the walk goes on from."""
-    edges = materialise(resolve_refs(symbols, opens, refs, order))
     seeds = symbols.filter(F.col("qualified") == entry).select(F.lit(0).alias("root"), "qualified")
-    nodes = _walk(seeds, _forward(symbols, edges), max_depth).filter(F.col("depth") < max_depth)
+    nodes = _walk(seeds, _forward(symbols, refs, opens, order), max_depth).filter(F.col("depth") < max_depth)
     last = symbols.groupBy("qualified").agg(F.max_by("file", "id").alias("file"))
-    return nodes.join(last, "qualified").select("file").distinct().join(edges.filter("target is null"), "file").select("name").distinct()
+    files = nodes.join(last, "qualified").select("file").distinct()
+    edges = resolve_refs(symbols, opens, refs.join(files, "file", "left_semi"), order)
+    return edges.filter("target is null").select("name").distinct()
 
 
-def reverse_spider(symbols: DataFrame, refs: DataFrame, entry: str, max_depth: int) -> DataFrame:
-    """qualified, depth: what depends on the entry, by the symbols that hold the refs to it."""
-    held = materialise(containing_symbol(symbols, refs).filter("container is not null"))
+def _targets(symbols: DataFrame, qualified: DataFrame) -> DataFrame:
+    """target, short for each distinct qualified name that is defined; short is its first overload's."""
     first = symbols.groupBy("qualified").agg(F.min_by("name", "id").alias("short"))
+    return qualified.select("qualified").distinct().join(first, "qualified").select(F.col("qualified").alias("target"), "short")
+
+
+def reverse_spider(symbols: DataFrame, refs: DataFrame, entry: str, max_depth: int) -> DataFrame:
+    """qualified, depth: what depends on the entry, by the symbols that hold the refs to it.
+
+    A level needs to know which symbols refer to any of it, not to which: one semi-join on keys.
+    """
+    if max_depth <= 1:
+        held = containing_symbol(symbols, references_any(_targets(symbols, symbols.filter(F.col("qualified") == entry)), refs))
+    else:
+        held = containing_symbol(symbols, refs)
+    held = materialise(with_keys(held.filter("container is not null").select("name", "container").distinct()))
 
     def step(level: DataFrame) -> DataFrame:
-        targets = level.join(first, "qualified").select(F.col("qualified").alias("target"), "short").distinct()
-        return references_to(targets, held).select(F.lit(0).alias("root"), F.col("container").alias("qualified"))
+        keys = target_keys(_targets(symbols, level)).select("key_")
+        return held.join(keys, "key_", "left_semi").select(F.lit(0).alias("root"), F.col("container").alias("qualified"))
 
     seeds = symbols.filter(F.col("qualified") == entry).select(F.lit(0).alias("root"), "qualified")
     return _walk(seeds, step, max_depth).select("qualified", "depth")
@@ -119,12 +159,23 @@ def callers(symbols: DataFrame, refs: DataFrame, entry: str) -> DataFrame:
     return reverse_spider(symbols, refs, entry, 1).filter("depth = 1").select("qualified")
 
 
+def find_callers(symbols: DataFrame, refs: DataFrame, name: str) -> DataFrame:
+    """asked, qualified, how: the callers of a symbol as a user asks for them. An unknown name stands
+    for the first symbol that the pattern search finds (how: searched); if there is none either, the
+    rows are near names with how suggested."""
+    exact = symbols.filter(F.col("qualified") == name).orderBy("id").limit(1).select("qualified", F.lit("exact").alias("how"))
+    found = search(symbols, name, 1).select("qualified", F.lit("searched").alias("how"))
+    taken = cascade(exact, found).drop("branch").first()
+    if taken is None:
+        return suggest_similar(symbols, name).select(F.lit(name).alias("asked"), F.col("value").alias("qualified"), F.lit("suggested").alias("how"))
+    return callers(symbols, refs, taken["qualified"]).select(F.lit(taken["qualified"]).alias("asked"), "qualified", F.lit(taken["how"]).alias("how"))
+
+
 def spider_from_file(symbols: DataFrame, refs: DataFrame, opens: DataFrame, file: str, max_depth: int) -> DataFrame:
     """qualified, depth: the walks from each symbol of a file in turn; of what several reach, the
     first walk's depth, which need not be the least."""
-    edges = materialise(resolve_refs(symbols, opens, refs))
     own = symbols.filter(F.col("file") == file).groupBy("qualified").agg(F.min("id").alias("root"))
-    found = _walk(own, _forward(symbols, edges), max_depth)
+    found = _walk(own, _forward(symbols, refs, opens, None), max_depth)
     return found.groupBy("qualified").agg(F.min_by("depth", "root").alias("depth"))
 
 
@@ -159,10 +210,9 @@ def analyse_frames(frames: DataFrame, symbols: DataFrame, refs: DataFrame) -> Da
     exact = symbols.groupBy(F.col("qualified").alias("symbol")).agg(F.min_by(F.struct("qualified", "file", "line"), "id").alias("by_qualified"))
     named = symbols.groupBy(F.col("name").alias("symbol")).agg(F.min_by(F.struct("qualified", "file", "line"), "id").alias("by_name"))
     placed = frames.join(exact, "symbol", "left").join(named, "symbol", "left").withColumn("s_", F.coalesce("by_qualified", "by_name")).drop("by_qualified", "by_name")
-    first = symbols.groupBy("qualified").agg(F.min_by("name", "id").alias("short"))
-    wanted = placed.select(F.col("s_.qualified").alias("qualified")).filter("qualified is not null").distinct()
-    targets = wanted.join(first, "qualified").select(F.col("qualified").alias("target"), "short")
-    counts = references_to(targets, containing_symbol(symbols, refs).filter("container is not null")).filter("container <> target").groupBy("target").agg(F.count_distinct("container").alias("callers"))
+    targets = _targets(symbols, placed.select(F.col("s_.qualified").alias("qualified")).filter("qualified is not null"))
+    held = containing_symbol(symbols, references_any(targets, refs)).filter("container is not null").select("name", "container").distinct()
+    counts = references_to(targets, held).filter("container <> target").groupBy("target").agg(F.count_distinct("container").alias("callers"))
     joined = placed.join(counts, F.col("s_.qualified") == F.col("target"), "left")
     return joined.select(*frames.columns, F.col("s_.qualified").alias("defined_as"), F.col("s_.file").alias("defined_in"), F.col("s_.line").alias("defined_at"), F.coalesce("callers", F.lit(0)).alias("callers"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -22,19 +22,45 @@ def find_references_defined(symbols: DataFrame, refs: DataFrame, qualified: str)
     return references_to(targets, refs)
 
 
+def _suffixes(c: Column) -> Column:
+    """What stands after each dot of a name, the longest first."""
+    parts = F.split(c, r"\.")
+    return F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(2), F.size(parts)), lambda n: F.array_join(F.slice(parts, n, F.size(parts)), "."))).otherwise(F.array().cast("array<string>"))
+
+
+def _key(how: str, c: Column) -> Column:
+    return F.struct(F.lit(how).alias("how"), c.alias("text"))
+
+
+def target_keys(targets: DataFrame) -> DataFrame:
+    """target, key_ for every target (target, short). A ref means a target if it is the short name,
+    the qualified name or an end of that, or ends in the short name after a dot: that is, if one of
+    the ref's keys (its whole name, or an end of it) equals one of these."""
+    wholes = F.array_distinct(F.concat(F.array("short", "target"), _suffixes(F.col("target"))))
+    keys = F.concat(F.transform(wholes, lambda k: _key("whole", k)), F.array(_key("end", F.col("short"))))
+    return targets.select("target", F.explode(keys).alias("key_")).distinct()
+
+
+def with_keys(refs: DataFrame, name: str = "name") -> DataFrame:
+    """refs once for each of its keys; see target_keys()."""
+    keys = F.concat(F.array(_key("whole", F.col(name))), F.transform(_suffixes(F.col(name)), lambda k: _key("end", k)))
+    return refs.withColumn("key_", F.explode(keys))
+
+
+def references_any(targets: DataFrame, refs: DataFrame) -> DataFrame:
+    """The refs to any of the targets: a semi-join of the distinct names, and one of the refs."""
+    names = with_keys(refs.select("name").distinct()).join(target_keys(targets).select("key_"), "key_", "left_semi").select("name").distinct()
+    return refs.join(names, "name", "left_semi").select(*refs.columns)
+
+
 def references_to(targets: DataFrame, refs: DataFrame) -> DataFrame:
     """refs with target for every target (target, short) that they refer to.
 
-    All four ways to refer make one of two equal: the last dotted segments of the ref and of the
-    short name, or those of the ref and of the qualified name. So this is a hash join on the last
-    segment, with the exact rule as a residual.
+    The rule is decided on distinct names by equality of keys; refs then join by name. Where the
+    target does not matter, references_any() makes no pairs.
     """
-    last = lambda c: F.element_at(F.split(F.col(c), r"\."), -1)
-    keyed = targets.select("target", "short", F.explode(F.array_distinct(F.array(last("short"), last("target")))).alias("seg_"))
-    rows = refs.withColumn("seg_", last("name"))
-    name = F.col("name")
-    rule = (name == F.col("short")) | (name == F.col("target")) | F.col("target").endswith(F.concat(F.lit("."), name)) | name.endswith(F.concat(F.lit("."), F.col("short")))
-    return rows.join(keyed, "seg_").filter(rule).drop("seg_").dropDuplicates(["id", "target"])
+    names = with_keys(refs.select("name").distinct()).join(target_keys(targets), "key_").select("name", "target").distinct()
+    return refs.join(names, "name").select(*refs.columns, "target")
 
 
 def containing_symbol(symbols: DataFrame, refs: DataFrame) -> DataFrame:

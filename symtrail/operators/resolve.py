@@ -1,7 +1,9 @@
-"""Name resolution: per language a list of rules in order, all run as one equality join.
+"""Name resolution: per language a list of steps in order, all run as one equality join.
 
-Every rule turns a name in a file into qualified names that it might mean. All candidates, with the
-rule's place in the list, are joined to the symbols at once; the best that exists is the answer.
+Every step turns a name in a file into qualified names that it might mean. All candidates, with their
+place in the order of trial, are joined to the symbols at once; the first that exists is the answer.
+Scopes and imports that no symbol lies in are dropped before they meet the names of their file, so
+candidates are names times the scopes that count, file by file.
 """
 
 from __future__ import annotations
@@ -11,96 +13,170 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Separator and rules of each language, in the order in which they are tried.
+from .lookup import can_reference
+
+# Separator and steps of each language, in the order in which they are tried. A step
+# of several rules tries all of them for one import, or one symbol of the file, before the next.
 _CLASSES = ("class", "interface", "record")
+_TYPES = ("class", "interface")
 RULES: dict[str, tuple[str, tuple]] = {
-    "fsharp": (".", ("exact", "same_file", "opens_join", "parents")),
-    "ruby": ("::", ("exact", ("scope", ("module", "class")))),
-    "c": ("::", ("exact", "same_file")),
-    "cpp": ("::", ("exact", ("namespace", _CLASSES), "opens_suffix", "opens_join", "same_file", ("scope", ("class",)))),
-    "csharp": (".", ("exact", ("namespace", _CLASSES), "opens_suffix", "opens_join", "same_file", ("scope", _CLASSES))),
-    "java": (".", ("exact", ("namespace", None), "opens_suffix", "opens_join", "same_file", ("scope", ("class",)))),
-    "kotlin": (".", ("exact", ("namespace", None), "opens_suffix", "opens_join", "same_file", ("scope", ("class",)))),
-    "php": ("\\", ("exact", ("namespace", ("class", "interface")), "opens_suffix", "opens_join", "same_file", ("scope", ("class",)))),
-    "typescript": (".", ("exact", ("scope", ("class", "interface", "module")), "opens_join", "same_file")),
-    "javascript": (".", ("exact", ("scope", ("class", "module")), "opens_join", "same_file")),
-    "swift": (".", ("exact", "same_file", "opens_join", ("scope", _CLASSES))),
-    "objc": (".", ("exact", "same_file")),
-    "haxe": (".", ("exact", "same_file", "opens_join", ("scope", ("class", "interface", "type")))),
-    "python": (".", ("exact", ("scope", ("class", "module")), "opens_join")),
-    "rust": ("::", ("exact", ("scope", ("module", "class", "interface")), "opens_suffix", "opens_join")),
-    "go": (".", ("exact", ("scope", ("module", "class", "interface")), "opens_last", ("namespace", None))),
+    "fsharp": (".", ("exact", ("members", ("ends",), ()), ("imports", ("join",)), "parents")),
+    "ruby": ("::", ("exact", ("members", ("scope",), ("module", "class")))),
+    "c": ("::", ("exact", ("members", ("name",), ()))),
+    "cpp": ("::", ("exact", ("namespace", _CLASSES, False), ("imports", ("suffix", "join")), ("members", ("name", "scope"), ("class", "record")))),
+    "csharp": (".", ("exact", ("namespace", _CLASSES, False), ("imports", ("suffix", "join")), ("members", ("name", "scope"), _CLASSES))),
+    "java": (".", ("exact", ("namespace", ("class",), True), ("imports", ("suffix", "join")), ("members", ("name", "scope"), _TYPES))),
+    "kotlin": (".", ("exact", ("namespace", ("class",), True), ("imports", ("suffix", "join")), ("members", ("name", "scope"), _TYPES))),
+    "php": ("\\", ("exact", ("namespace", _TYPES, False), ("imports", ("suffix", "join")), ("members", ("name", "scope"), _TYPES))),
+    "typescript": (".", ("exact", ("members", ("scope",), ("class", "interface", "module")), ("imports", ("join",)), ("members", ("name",), ()))),
+    "javascript": (".", ("exact", ("members", ("scope",), ("class", "module")), ("imports", ("join",)), ("members", ("name",), ()))),
+    "swift": (".", ("exact", ("members", ("name",), ()), ("imports", ("join",)), ("members", ("scope",), _CLASSES))),
+    "objc": (".", ("exact", ("members", ("name",), ()))),
+    "haxe": (".", ("exact", ("members", ("name",), ()), ("imports", ("join",)), ("members", ("scope",), ("class", "interface", "type")))),
+    "python": (".", ("exact", ("members", ("scope",), ("class", "module")), ("imports", ("join",)))),
+    "rust": ("::", ("exact", ("members", ("scope",), ("module", "class", "interface")), ("imports", ("suffix", "join")))),
+    "go": (".", ("exact", ("members", ("scope",), ("module", "class", "interface")), ("imports", ("tail", "join")))),
 }
-NAMES = {"exact": "Qualified", "same_file": "SameModule", "scope": "SameModule", "namespace": "SameModule", "parents": "ParentModule"}
+NAMES = {"exact": "Qualified", "members": "SameModule", "namespace": "SameModule", "parents": "ParentModule", "imports": "ViaOpen"}
+#: Languages whose dotted names are resolved like any other.
+UNDOTTED = ("ruby", "c", "objc")
+
+
+def _parts(text: Column, sep: str) -> Column:
+    return F.split(text, F.lit(f"\\Q{sep}\\E"))
+
+
+def _ups(qualified: Column, sep: str) -> Column:
+    """Every scope that encloses a qualified name, the outermost first."""
+    parts = _parts(qualified, sep)
+    return F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), sep))
 
 
-def _prefix(qualified: Column, sep: str) -> Column:
-    at = F.length(qualified) - F.length(F.substring_index(qualified, sep, -1))
-    return F.substring(qualified, F.lit(1), F.greatest(at - len(sep), F.lit(0)))
+def _candidates(step, sep: str, wanted: DataFrame, symbols: DataFrame, opens: DataFrame, scopes: DataFrame) -> DataFrame:
+    """name, from_file, candidate, id, place, via: what one step makes of each wanted name. id is known
+    only where the step finds a symbol itself; place is the order of trial within the step."""
+    kind, *args = (step,) if isinstance(step, str) else step
+    own = symbols.groupBy(F.col("file").alias("from_file"), "qualified").agg(F.min("id").alias("pos"))
+    zero, none, name = F.lit(0).cast("long"), F.lit(None).cast("string"), F.col("name")
 
+    def out(df, candidate, a=zero, b=zero, c=0, text=F.lit(""), via=none, known=F.lit(None).cast("long")):
+        place = F.struct(a.alias("a"), b.alias("b"), text.alias("text"), F.lit(c).cast("long").alias("c") if isinstance(c, int) else c.alias("c"))
+        return df.select("name", "from_file", candidate.alias("candidate"), known.alias("id"), place.alias("place"), via.alias("via"))
 
-def _candidates(rule, sep: str, wanted: DataFrame, symbols: DataFrame, opens: DataFrame) -> DataFrame:
-    """name, from_file, candidate, ord, via: what one rule makes of each wanted name."""
-    kind, kinds = (rule, None) if isinstance(rule, str) else rule
-    own = symbols.select(F.col("file").alias("from_file"), F.col("name").alias("own_name"), "qualified", "kind", "id")
-    opened = opens.select(F.col("file").alias("from_file"), "module_path", F.col("ord").cast("long").alias("ord"))
-    out = lambda df, candidate, ord_, via: df.select("name", "from_file", candidate.alias("candidate"), ord_.alias("ord"), via.alias("via"))
-    none, zero = F.lit(None).cast("string"), F.lit(0).cast("long")
-    name = F.col("name")
     if kind == "exact":
-        return out(wanted, name, zero, none)
-    if kind == "same_file":
-        ends = own.withColumn("key", F.explode(F.array_distinct(F.array("own_name", F.substring_index("qualified", sep, -1)))))
-        return out(wanted.join(ends.withColumnRenamed("key", "name"), ["from_file", "name"]), F.col("qualified"), F.col("id"), none)
-    if kind == "scope":
-        return out(wanted.join(own.filter(F.col("kind").isin(*kinds)), "from_file"), F.concat("qualified", F.lit(sep), name), F.col("id"), none)
+        return out(wanted, name)
     if kind == "namespace":
-        inside = own.filter(F.col("qualified").contains(sep)) if kinds is None else own.filter(F.col("kind").isin(*kinds))
-        first = inside.groupBy("from_file").agg(F.min_by("qualified", "id").alias("first"))
-        space = _prefix(F.col("first"), sep)
-        return out(wanted.join(first, "from_file"), F.when(space == "", name).otherwise(F.concat(space, F.lit(sep), name)), zero, none)
+        kinds, dotted = args
+        space = F.element_at(_ups(F.col("qualified"), sep), -1)
+        first = symbols.filter(F.col("qualified").contains(sep)).withColumn("space", space)
+        counts = F.col("kind").isin(*kinds)
+        counts = counts | F.col("space").contains(sep) if dotted else counts
+        first = first.filter(counts).groupBy("qualified", "space").agg(F.min("id").alias("first"))
+        first = own.join(first, "qualified").groupBy("from_file").agg(F.min_by("space", F.struct("pos", "first")).alias("scope")).join(scopes, "scope", "left_semi")
+        return out(wanted.join(first, "from_file"), F.concat("scope", F.lit(sep), name))
     if kind == "parents":
-        parts = F.split("qualified", F.lit(f"\\Q{sep}\\E"))
-        ups = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda n: F.array_join(F.slice(parts, 1, n), sep))
-        scopes = own.filter(F.col("qualified").contains(sep)).select("from_file", F.explode(ups).alias("up")).distinct()
-        return out(wanted.join(scopes, "from_file"), F.concat("up", F.lit(sep), name), -F.length("up").cast("long"), F.col("up"))
-    joined = wanted.join(opened, "from_file")
-    if kind == "opens_suffix":
-        return out(joined.filter(F.col("module_path").endswith(F.concat(F.lit(sep), name))), F.col("module_path"), F.col("ord"), F.col("module_path"))
-    base = F.regexp_extract("module_path", r"([^/]*)$", 1) if kind == "opens_last" else F.col("module_path")
-    return out(joined, F.concat(base, F.lit(sep), name), F.col("ord"), F.col("module_path"))
-
-
-def resolve(wanted: DataFrame, symbols: DataFrame, opens: DataFrame, language: str) -> DataFrame:
-    """name, from_file, qualified, resolution, via for each distinct (name, from_file) that resolves."""
-    sep, rules = RULES[language]
-    wanted = wanted.select("name", "from_file").distinct()
+        ups = own.filter(F.col("qualified").contains(sep)).select("from_file", "pos", F.posexplode(F.reverse(_ups(F.col("qualified"), sep))).alias("up", "scope"))
+        ups = ups.groupBy("from_file", "scope").agg(F.min(F.struct("pos", "up")).alias("at")).join(scopes, "scope", "left_semi")
+        return out(wanted.join(ups, "from_file"), F.concat("scope", F.lit(sep), name), F.col("at.pos"), zero, F.col("at.up").cast("long"), via=F.col("scope"))
     every = []
-    for prio, rule in enumerate(rules):
-        kind = rule if isinstance(rule, str) else rule[0]
-        found = _candidates(rule, sep, wanted, symbols, opens)
-        every.append(found.withColumns({"prio": F.lit(prio), "resolution": F.lit(NAMES.get(kind, "ViaOpen"))}))
-    candidates = reduce(DataFrame.unionByName, every)
-    # of overloads the first; in C++ a definition in a source file before one in a header, the last of equals
+    if kind == "members":
+        rules, kinds = args
+        for c, rule in enumerate(rules):
+            if rule == "scope":
+                of_kind = symbols.filter(F.col("kind").isin(*kinds)).groupBy("qualified").agg(F.min("id").alias("first"))
+                inside = own.join(of_kind, "qualified").withColumnRenamed("qualified", "scope").join(scopes, "scope", "left_semi")
+                every.append(out(wanted.join(inside, "from_file"), F.concat("scope", F.lit(sep), name), F.col("pos"), F.col("first"), c))
+                continue
+            named = symbols.select("qualified", "name", "id")
+            if rule == "ends":  # the name, or any end of the qualified name after a separator
+                ends = F.array_distinct(F.concat(F.array("name"), _tails(F.col("qualified"), sep)))
+                named = named.select("qualified", "id", F.explode(ends).alias("name"))
+            named = named.groupBy("qualified", "name").agg(F.min("id").alias("first"))
+            found = wanted.join(own.join(named, "qualified"), ["from_file", "name"])
+            every.append(out(found, F.col("qualified"), F.col("pos"), F.col("first"), c, known=F.col("first")))
+        return reduce(DataFrame.unionByName, every)
+    opened = opens.select(F.col("file").alias("from_file"), F.col("module_path").alias("scope"), F.col("ord").cast("long").alias("ord"))
+    inside = opened.join(scopes, "scope", "left_semi")
+    scope, last = F.col("scope"), F.element_at(F.split("scope", "/"), -1)
+    for c, rule in enumerate(args[0]):
+        if rule == "suffix":  # an import that names the symbol itself
+            ends = opened.select("from_file", "scope", "ord", F.explode(_tails(scope, sep)).alias("name"))
+            df, candidate = wanted.join(ends, ["from_file", "name"]), scope
+        elif rule == "tail":  # the name begins with the import's last segment
+            df = wanted.join(inside, "from_file").filter(name.startswith(F.concat(last, F.lit("."))))
+            candidate = F.concat(scope, F.substring(name, F.length(last) + 1, F.length(name)))
+        else:
+            df, candidate = wanted.join(inside, "from_file"), F.concat(scope, F.lit(sep), name)
+        every.append(out(df, candidate, F.col("ord"), zero, c, scope, scope))
+    return reduce(DataFrame.unionByName, every)
+
+
+def _tails(text: Column, sep: str) -> Column:
+    """What stands after each separator."""
+    parts = _parts(text, sep)
+    tails = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda n: F.array_join(F.slice(parts, n, F.size(parts)), sep))
+    return F.when(F.size(parts) > 1, tails).otherwise(F.array().cast("array<string>"))
+
+
+def _known(symbols: DataFrame, language: str) -> DataFrame:
+    """candidate, last, file: of overloads the last; in C++ a definition in a source file before one
+    in a header, and of those the last."""
+    order = F.struct("id")
     if language == "cpp":
-        weight = F.when(F.col("file").rlike(r"\.(cpp|cc|cxx|c)$"), 2).when(F.col("file").rlike(r"\.(hpp|hxx|hh|h)$"), 1).otherwise(0)
-        known = symbols.groupBy(F.col("qualified").alias("candidate")).agg(F.max_by("id", F.struct(weight, "id")).alias("id"))
-    else:
-        known = symbols.groupBy(F.col("qualified").alias("candidate")).agg(F.min("id").alias("id"))
-    best = candidates.join(known, "candidate").groupBy("name", "from_file").agg(F.min_by(F.struct("candidate", "id", "resolution", "via"), F.struct("prio", "ord", "candidate")).alias("b"))
+        ending = F.lower(F.element_at(F.split("file", r"\."), -1))
+        order = F.struct(F.when(ending.isin("cpp", "cc", "c", "cxx"), 2).when(ending.isin("hpp", "h", "hh", "hxx"), 1).otherwise(0), "id")
+    return symbols.groupBy(F.col("qualified").alias("candidate")).agg(F.max_by(F.struct("id", "file"), order).alias("s")).select("candidate", F.col("s.id").alias("last"), F.col("s.file").alias("to_file"))
+
+
+def resolve(wanted: DataFrame, symbols: DataFrame, opens: DataFrame, language: str, order: DataFrame | None = None) -> DataFrame:
+    """name, from_file, qualified, symbol_id, resolution, via for each distinct (name, from_file) that
+    resolves. order (path, ord), if given, is the compile order that F# respects."""
+    sep, steps = RULES[language]
+    wanted = wanted.select("name", "from_file").distinct()
+    scopes = symbols.filter(F.col("qualified").contains(sep)).select(F.explode(_ups(F.col("qualified"), sep)).alias("scope")).distinct()
+    every = []
+    for prio, step in enumerate(steps):
+        kind = step if isinstance(step, str) else step[0]
+        found = _candidates(step, sep, wanted, symbols, opens, scopes)
+        every.append(found.withColumns({"prio": F.lit(prio), "resolution": F.lit(NAMES[kind])}))
+    found = reduce(DataFrame.unionByName, every).join(_known(symbols, language), "candidate")
+    if order is not None and language == "fsharp":
+        pairs = found.filter("id is null").select("from_file", "to_file").distinct()
+        seen = can_reference(pairs, order).filter("can_reference").select("from_file", "to_file")
+        found = found.filter("id is not null").unionByName(found.filter("id is null").join(seen, ["from_file", "to_file"]))
+    best = found.groupBy("name", "from_file").agg(F.min_by(F.struct("candidate", F.coalesce("id", "last").alias("id"), "resolution", "via"), F.struct("prio", "place", "candidate")).alias("b"))
     return best.select("name", "from_file", F.col("b.candidate").alias("qualified"), F.col("b.id").alias("symbol_id"), F.col("b.resolution").alias("resolution"), F.col("b.via").alias("via"))
 
 
-def resolve_dotted(wanted: DataFrame, symbols: DataFrame, opens: DataFrame, language: str) -> DataFrame:
+def resolve_dotted(wanted: DataFrame, symbols: DataFrame, opens: DataFrame, language: str, order: DataFrame | None = None) -> DataFrame:
     """name, from_file, qualified: the name as it stands if that is defined; else its first segment
-    resolved, with the rest after it; else the name resolved as a whole."""
+    resolved, with the rest after it; else the name resolved as a whole.
+
+    In Rust dots also count as separators. F# resolves the whole name first, and then takes an import
+    that ends in the first segment for it.
+    """
     sep = RULES[language][0]
     wanted = wanted.select("name", "from_file").distinct()
-    known = symbols.select(F.col("qualified")).distinct()
-    exact = wanted.join(known, F.col("name") == F.col("qualified")).select("name", "from_file", "qualified", F.lit(0).alias("prio"))
-    split = wanted.filter(F.col("name").contains(sep)).select(F.col("name").alias("whole"), F.substring_index("name", sep, 1).alias("name"), "from_file")
-    head = resolve(split, symbols, opens, language).select("name", "from_file", F.col("qualified").alias("head"))
-    rest = split.join(head, ["name", "from_file"]).select(F.col("whole").alias("name"), "from_file", F.concat("head", F.expr("substring(whole, length(name) + 1)")).alias("qualified"))
-    rest = rest.join(known, "qualified", "left_semi").select("name", "from_file", "qualified", F.lit(1).alias("prio"))
-    whole = resolve(wanted, symbols, opens, language).select("name", "from_file", "qualified", F.lit(2).alias("prio"))
-    return exact.unionByName(rest).unionByName(whole).groupBy("name", "from_file").agg(F.min_by("qualified", "prio").alias("qualified"))
+    whole = resolve(wanted, symbols, opens, language, order).select("name", "from_file", "qualified", F.lit(3).alias("prio"), F.lit(0).alias("ord"))
+    known = _known(symbols, language).select(F.col("candidate").alias("qualified"), "to_file")
+    if language in UNDOTTED:
+        tried = [whole]
+    elif language == "fsharp":
+        head, rest = F.substring_index("name", ".", 1), F.expr("substring(name, instr(name, '.'))")
+        opened = opens.select(F.col("file").alias("from_file"), "module_path", "ord")
+        via = wanted.filter(F.col("name").contains(".")).join(opened, "from_file").filter(F.col("module_path").endswith(head)).withColumn("qualified", F.concat("module_path", rest)).join(known, "qualified")
+        if order is not None:
+            seen = can_reference(via.select("from_file", "to_file").distinct(), order).filter("can_reference")
+            via = via.join(seen.select("from_file", "to_file"), ["from_file", "to_file"], "left_semi")
+        tried = [whole, via.select("name", "from_file", "qualified", F.lit(4).alias("prio"), F.col("ord").cast("int"))]
+    else:
+        path = (lambda c: F.replace(c, F.lit("."), F.lit("::"))) if language == "rust" else (lambda c: c)
+        at = F.when(F.col("name").contains("::"), "::").otherwise(".") if language == "rust" else F.lit(sep)
+        as_is = [wanted.withColumn("qualified", F.col("name")), *([wanted.withColumn("qualified", path(F.col("name")))] if language == "rust" else [])]
+        tried = [df.join(known, "qualified", "left_semi").select("name", "from_file", "qualified", F.lit(p).alias("prio"), F.lit(0).alias("ord")) for p, df in enumerate(as_is)]
+        split = wanted.withColumn("sep_", at).filter(F.expr("contains(name, sep_)")).withColumns({"whole": F.col("name"), "name": F.expr("substring(name, 1, instr(name, sep_) - 1)")})
+        head = resolve(split, symbols, opens, language).select("name", "from_file", F.col("qualified").alias("head"))
+        rest = F.expr("substring(whole, length(name) + length(sep_) + 1)")
+        joined = split.join(head, ["name", "from_file"]).select(F.col("whole").alias("name"), "from_file", F.concat("head", F.lit(sep), path(rest)).alias("qualified"))
+        tried += [joined.join(known, "qualified", "left_semi").select("name", "from_file", "qualified", F.lit(2).alias("prio"), F.lit(0).alias("ord")), whole]
+    return reduce(DataFrame.unionByName, tried).groupBy("name", "from_file").agg(F.min_by("qualified", F.struct("prio", "ord", "qualified")).alias("qualified"))
