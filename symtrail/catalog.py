@@ -10,7 +10,7 @@ from .operators import editor, graph, incremental, lookup, rank, refs, search
 from .plans.adapters import Facts, read, star_facts, watch_events
 from .registry import ENTRY_SQL, oracle_sql, queries, query
 from .streaming import watch
-from . import catalog_resolve  # noqa: F401  (registers its queries)
+from . import catalog_extract, catalog_resolve, catalog_store, catalog_text  # noqa: F401  (they register their queries)
 
 __all__ = ["oracle_sql", "queries"]
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..schema import KINDS
+from ..schema import KINDS, VISIBILITIES
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -83,6 +83,22 @@ def visibility_weight(visibility: Column) -> Column:
     return _case(visibility, {"public": 3, "internal": 2}, 1)
 
 
+def encode_kind(c: Column) -> Column:
+    """How a kind is stored: its name in lower case; null for what is no kind."""
+    low = F.lower(c)
+    return F.when(low.isin(*KINDS), low)
+
+
+def encode_visibility(c: Column) -> Column:
+    low = F.lower(c)
+    return F.when(low.isin(*VISIBILITIES), low)
+
+
+def encode_member_kind(c: Column) -> Column:
+    low = F.lower(c)
+    return F.when(low.isin("property", "method", "field", "event"), low)
+
+
 def decode_kind(c: Column) -> Column:
     return F.when(c.isin(*KINDS), c).otherwise(F.lit("value"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,11 +13,14 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a folder of our own only where it is unset."""
+    """spark.checkpoint.dir of the session. Only a session without a cluster may do without it, and
+    gets a folder of its own: there the driver's disk is the executors' too."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        context.setCheckpointDir("/tmp/checkpoints")
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: executors need a folder that they share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="symtrail-checkpoints-"))
         folder = context.getCheckpointDir()
     return folder
 

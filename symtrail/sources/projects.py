@@ -103,27 +103,44 @@ def expression_type(types: DataFrame, members: DataFrame, name: str) -> DataFram
 
 # --- external types --------------------------------------------------------------------------------
 
-# Types of the platform's common assemblies, by namespace.
-EXTERNAL = {
-    "System": "String Int32 Int64 Double Boolean DateTime TimeSpan Guid Uri Exception ArgumentException InvalidOperationException Console Math Convert Environment Random Object Nullable Tuple Lazy Action Func",
-    "System.Collections.Generic": "List Dictionary HashSet Queue Stack LinkedList SortedDictionary IEnumerable IList IDictionary KeyValuePair",
-    "System.IO": "File Directory Path Stream FileStream MemoryStream StreamReader StreamWriter IOException",
-    "System.Text": "StringBuilder Encoding",
-    "System.Text.RegularExpressions": "Regex Match",
-    "System.Threading": "Thread CancellationToken CancellationTokenSource Mutex Monitor",
-    "System.Threading.Tasks": "Task ValueTask",
-    "System.Net.Http": "HttpClient HttpRequestMessage HttpResponseMessage",
-    "System.Linq": "Enumerable Queryable",
-    "Microsoft.FSharp.Core": "Option Result List Seq Array Map Set Async String",
-}
+# The known types of the platform, their assemblies and their members (methods, and
+# properties after a bar). A backtick tells the number of type parameters.
+EXTERNAL = """
+System.Runtime: System.Object, System.String, System.Int32, System.Int64, System.Double, System.Single, System.Boolean, System.Char, System.Byte
+System.Runtime: System.DateTime, System.TimeSpan, System.Guid, System.Uri
+System.Runtime: System.Exception, System.ArgumentException, System.InvalidOperationException, System.NotImplementedException
+System.Console: System.Console(WriteLine Write ReadLine ReadKey Clear)
+System.IO: System.IO.File(ReadAllText WriteAllText ReadAllLines WriteAllLines Exists Delete Copy Move)
+System.IO: System.IO.Directory(Exists CreateDirectory Delete GetFiles GetDirectories)
+System.IO: System.IO.Path(Combine GetFileName GetDirectoryName GetExtension GetFullPath), System.IO.StreamReader, System.IO.StreamWriter
+System.Collections: System.Collections.Generic.List`1(Add Remove Clear Contains | Count)
+System.Collections: System.Collections.Generic.Dictionary`2(Add Remove ContainsKey TryGetValue | Count Keys Values)
+System.Collections: System.Collections.Generic.HashSet`1, System.Collections.Generic.Queue`1, System.Collections.Generic.Stack`1
+System.Linq: System.Linq.Enumerable(Select Where First FirstOrDefault Last LastOrDefault Single SingleOrDefault ToList ToArray ToDictionary Count Any All Skip Take OrderBy OrderByDescending GroupBy Distinct Concat Zip)
+System.Runtime: System.Text.StringBuilder(Append AppendLine Clear ToString)
+System.Text.RegularExpressions: System.Text.RegularExpressions.Regex(Match Matches Replace IsMatch)
+System.Runtime: System.Threading.Tasks.Task(Run WhenAll WhenAny Delay), System.Threading.Tasks.Task`1
+System.Net.Http: System.Net.Http.HttpClient(GetAsync PostAsync PutAsync DeleteAsync SendAsync)
+"""
 
 
 def external_symbols(spark: SparkSession) -> DataFrame:
-    """name, qualified, kind, assembly of the known external types; a fixed, short table."""
-    rows = [(n, f"{space}.{n}", "type", "FSharp.Core" if space.startswith("Microsoft") else "System.Runtime") for space, names in EXTERNAL.items() for n in names.split()]
+    """name, qualified, kind, assembly of the known external types and members; a short, fixed table."""
+    rows = []
+    for line in EXTERNAL.strip().splitlines():
+        assembly, types = line.split(": ")
+        for one in types.split(", "):
+            qualified, _, members = one.rstrip(")").partition("(")
+            methods, _, properties = members.partition("|")
+            rows.append((qualified.rsplit(".", 1)[-1], qualified, "class", assembly))
+            rows += [(m, f"{qualified}.{m}", kind, assembly) for kind, names in (("function", methods), ("value", properties)) for m in names.split()]
     return spark.createDataFrame(rows, "name string, qualified string, kind string, assembly string")
 
 
+def external_exact(external: DataFrame, qualified: str) -> DataFrame:
+    return external.filter(F.col("qualified") == qualified)
+
+
 def search_external(external: DataFrame, pattern: str) -> DataFrame:
     return external.filter(F.col("name").contains(pattern) | F.col("qualified").contains(pattern))
 
