@@ -14,8 +14,11 @@ from pyspark.sql import functions as F
 from .common import table, whole_text
 
 WORD = r"[\p{L}\p{N}]+"
-#: Places that a seed looks at.
+#: Places that a seed looks at. In a window of 20 words with 4 replaced some seed is whole wherever
+#: they are. Items shorter than a window have fewer places: SHORT_MASK makes sure of those of eight
+#: words or more, and still shorter ones have masks that leave out each word in turn.
 MASKS = ((0, 1, 3, 4, 6), (0, 1, 2, 4, 7), (0, 2, 3, 5, 7))
+SHORT_MASK = (0, 1, 5, 6)
 #: Words of a compared window, the share of them that must agree, and the fewest words of an item.
 WINDOW, SIMILARITY, LEAST = 20, 0.8, 5
 #: Benchmarks of at most this many words are broadcast; larger ones are joined by a shuffle.
@@ -26,11 +29,24 @@ def _words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(whole_text(text)), F.lit(WORD), F.lit(0))
 
 
-def _seeds(words: Column, at: Column, masks) -> Column:
-    """A struct of the mask's number and the seed's hash for each mask whose words are all there."""
+def _masks(sizes: list[int], masks, window: int) -> list[tuple[tuple[int, ...], int, int]]:
+    """The masks that items of these sizes (all below the window) need beside `masks`, and the sizes
+    of the items that each is for."""
+    widest = max(m[-1] for m in masks) + 1
+    every = [(tuple(m), widest, 1 << 30) for m in masks]
+    if any(widest <= n < window for n in sizes):
+        every.append((SHORT_MASK, widest, window - 1))
+    for n in sorted(n for n in sizes if n < widest):
+        every += [(tuple(i for i in range(n) if i != gap), n, n) for gap in range(n)]
+    return every
+
+
+def _seeds(words: Column, at: Column, masks, size: Column | None = None) -> Column:
+    """The seed's hash for each mask whose words are all there, and that is for items of this size."""
     every = []
-    for m, mask in enumerate(masks):
+    for m, (mask, least, most) in enumerate(masks):
         there = F.get(words, at + mask[-1]).isNotNull()
+        there = there if size is None else there & size.between(least, most)
         every.append(F.when(there, F.xxhash64(F.lit(m), *[F.get(words, at + i) for i in mask])))
     return F.array(*every)
 
@@ -52,8 +68,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, masks=MASKS, window: int = WIND
     shorter) agrees with the document in at least `similarity` of the places, some seed within the
     window agreeing as well. Words are runs of letters and digits, lower-cased. matched is the
     best agreement, first_word the first place in the document that such a window lies over. Items
-    of fewer than LEAST words leak nowhere; those shorter than every mask are found by all their
-    words. Null and empty texts have no leaks. Rows that repeat a doc_id give one row an item;
+    of fewer than LEAST words leak nowhere, being no evidence. Null and empty texts have no leaks. Rows that repeat a doc_id give one row an item;
     a null doc_id gives rows with a null doc_id. Columns other than those named are ignored.
 
     The benchmark is broadcast if it has at most broadcast_words words, which is counted first;
@@ -61,15 +76,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, masks=MASKS, window: int = WIND
     """
     items = benchmark.select("item_id", _words(F.col("text")).alias("item_")).filter(F.size("item_") >= LEAST)
     items = items.withColumn("item_key_", F.xxhash64("item_id", "item_"))
-    widest = max(m[-1] for m in masks) + 1
-    # at most `widest` rows of one number each
-    short = [r[0] for r in items.filter(F.size("item_") < widest).select(F.size("item_")).distinct().collect()]
-    short_masks = [tuple(range(n)) for n in sorted(short)]
+    # at most `window` rows of one number each
+    short = [r[0] for r in items.filter(F.size("item_") < window).select(F.size("item_")).distinct().collect()]
     total = items.agg(F.sum(F.size("item_"))).first()[0] or 0
     small = total <= broadcast_words
-    every = [*masks, *short_masks]
+    every = _masks(short, masks, window)
     places = items.select("item_key_", "item_", F.posexplode("item_").alias("place_", "w_"))
-    seeds = places.select("item_key_", "place_", F.explode(F.array_compact(_seeds(F.col("item_"), F.col("place_"), every))).alias("seed_")).dropDuplicates(["item_key_", "place_", "seed_"])
+    seeds = places.select("item_key_", "place_", F.explode(F.array_compact(_seeds(F.col("item_"), F.col("place_"), every, F.size("item_")))).alias("seed_")).dropDuplicates(["item_key_", "place_", "seed_"])
     listed = items.select("item_key_", "item_id", "item_").dropDuplicates(["item_key_"])
     rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("tag_"), _words(F.col("text")).alias("words_"))
     rows = rows.withColumn("n_words", F.size("words_"))
@@ -102,4 +115,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, **parameters) -> DataFr
 
 
 def op5_benchmark_decontamination(spark, sf_dir):
+    """Every leak of an item of benchmark into a document."""
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -335,7 +335,6 @@ def brute_leaks(rows, items, window=20, share=0.8):
     word, out = regex.compile(r"[\p{L}\p{N}]+"), {}
     texts = [(k, word.findall((t or "").lower())) for k, t in items]
     texts = [(k, w) for k, w in texts if len(w) >= 5]
-    masks = [*decontaminate.MASKS, *(tuple(range(n)) for n in {len(w) for _, w in texts} if n < 8)]
     for d, t in rows:
         words = word.findall((t or "").lower())
         for k, item in texts:
@@ -343,10 +342,9 @@ def brute_leaks(rows, items, window=20, share=0.8):
             need = math.ceil(size * share - 1e-9)
             for shift in range(-len(item) + 1, len(words)):
                 same = [int(0 <= shift + i < len(words) and words[shift + i] == item[i]) for i in range(len(item))]
-                for p in {i for i in range(len(item)) for m in masks if all(i + j < len(item) and same[i + j] for j in m)} if sum(same) >= 5 else ():
-                    for s in range(max(0, p - size + 1), min(p, len(item) - size) + 1):
-                        if sum(same[s : s + size]) >= need:
-                            out[(d, k)] = max(out.get((d, k), 0), sum(same[s : s + size]))
+                for s in range(len(item) - size + 1):  # every window, whatever seeds it has
+                    if sum(same[s : s + size]) >= need:
+                        out[(d, k)] = max(out.get((d, k), 0), sum(same[s : s + size]))
     return out
 
 
@@ -354,7 +352,7 @@ def brute_leaks(rows, items, window=20, share=0.8):
 def test_leaks(spark, broadcast_words):
     rng = random.Random(11)
     pool = [f"w{i}" for i in range(40)]
-    items = [(i, "  ".join(rng.choice(pool) for _ in range(n))) for i, n in enumerate([3, 5, 6, 9, 15, 22, 40, 40])] + [(8, None), (9, "")]
+    items = [(i, "  ".join(rng.choice(pool) for _ in range(n))) for i, n in enumerate([3, 5, 6, 10, 15, 22, 40, 40])] + [(8, None), (9, "")]
     rows = [r for r in ODD if r[0] != 4]
     for d in range(10, 70):
         words = rng.choice(items[1:8])[1].split()
