@@ -6,7 +6,8 @@ State, three tables that driver and executors share:
   filters  one cuckoo filter for each shard, over the keys that at least two documents hold
 
 insert() and delete() change refs and counts exactly and the filters of the touched shards only.
-A filter only spares lookups: what it lets pass is settled by the exact counts.
+A filter only spares lookups: what it lets pass is settled by the exact counts. Filters are used at
+every size: small ones where the texts are read, before anything is shuffled, large ones shard by shard.
 """
 
 from __future__ import annotations
@@ -19,20 +20,22 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lookup, materialise, sliced, table
+from .common import lookup, materialise, shipped, sliced, table
 from .cuckoo import CuckooFilter
 
-MIN_CHARS, SHARDS = 10, 64
-#: Filters of at most this many bytes together are sent to the executors; beyond, none are.
-FILTER_BYTES = 32 << 20
+#: Shards are a power of two; a batch takes as many as keep SHARD_KEYS repeated keys or so in each.
+MIN_CHARS, SHARDS, SHARD_KEYS = 10, 64, 1 << 20
+#: Filters of at most this many bytes together are sent to the executors; larger ones meet the keys of
+#: their shard in a shuffle, in SPREAD parts.
+FILTER_BYTES, SPREAD = 32 << 20, 8
 BLANK = b" \t\n\x0b\x0c\r"
-_REFS = "shard int, hi long, lo long, doc_id long"
 
 
 class LineState(NamedTuple):
-    refs: DataFrame
+    refs: DataFrame | None
     counts: DataFrame
     filters: DataFrame
+    shards: int | None = None  # of the filters, where it is not that of the refs
 
 
 def _keys(text: str | None, min_chars: int) -> list[bytes | None]:
@@ -57,8 +60,8 @@ def _refs_of(docs: DataFrame, min_chars: int, shards: int, wanted=None) -> DataF
                 keys += own
                 owner += [doc] * len(own)
             pairs = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2)  # hi is the second half
-            shard = (pairs[:, 1].copy().view(np.uint64) % np.uint64(shards)).astype(np.int32)
-            docs_of = pa.array(owner, pa.int64())
+            shard = (pairs[:, 1] & (shards - 1)).astype(np.int32)
+            docs_of = pa.array(owner, batch.column(names.index("doc_id")).type)
             if filters is not None:
                 hit = np.zeros(len(pairs), bool)
                 for s in np.unique(shard):
@@ -68,7 +71,10 @@ def _refs_of(docs: DataFrame, min_chars: int, shards: int, wanted=None) -> DataF
                 pairs, shard, docs_of = pairs[hit], shard[hit], docs_of.filter(pa.array(hit))
             yield pa.record_batch([pa.array(shard), pa.array(pairs[:, 1].copy()), pa.array(pairs[:, 0].copy()), docs_of], names=["shard", "hi", "lo", "doc_id"])
 
-    return docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, _REFS)
+    if shards & (shards - 1):
+        raise ValueError("the number of shards is a power of two")
+    kind = dict(docs.dtypes)["doc_id"]
+    return shipped(docs).filter("doc_id is not null").select("doc_id", "text").mapInArrow(rows, f"shard int, hi long, lo long, doc_id {kind}")
 
 
 def _counted(refs: DataFrame) -> DataFrame:
@@ -97,6 +103,34 @@ def _sent(spark, filters: DataFrame, limit: int):
     return spark.sparkContext.broadcast({r["shard"]: bytes(r["filter"]) for r in filters.collect()})
 
 
+def _sifted(refs: DataFrame, filters: DataFrame) -> DataFrame:
+    """refs (hi, lo, doc_id) that the filter of their shard lets pass. Each shard's filter and refs meet
+    in SPREAD parts, the filter first, and the refs stream past it."""
+    shards = filters.agg(F.max("shards")).first()[0]
+    if shards is None:
+        return refs.limit(0)
+    kind = dict(refs.dtypes)["doc_id"]
+    own = refs.select((F.col("hi").bitwiseAND(F.lit(shards - 1))).cast("int").alias("shard"), F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD)).alias("part"), F.lit(1).alias("side"), "hi", "lo", "doc_id")
+    each = filters.select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))).alias("part"), F.lit(0).alias("side"), F.lit(0).cast("long").alias("hi"), F.lit(0).cast("long").alias("lo"), "filter")
+    every = each.unionByName(own, allowMissingColumns=True).repartition("shard", "part").sortWithinPartitions("shard", "part", "side")
+
+    def rows(batches):
+        held: tuple = (None, None, None)
+        for batch in batches:
+            shard, part, side = (batch.column(batch.schema.get_field_index(n)).to_numpy() for n in ("shard", "part", "side"))
+            lo = batch.column(batch.schema.get_field_index("lo")).to_numpy()
+            hit = np.zeros(len(batch), bool)
+            edges = np.flatnonzero(np.append(True, (shard[1:] != shard[:-1]) | (part[1:] != part[:-1]) | (side[1:] != side[:-1])))
+            for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(batch)], strict=True):
+                if side[a] == 0:
+                    held = shard[a], part[a], CuckooFilter.from_bytes(batch.column(batch.schema.get_field_index("filter"))[a].as_py())
+                elif held[:2] == (shard[a], part[a]):  # a shard without a filter has no repeated keys
+                    hit[a:b] = held[2].contains(lo[a:b])
+            yield batch.filter(pa.array(hit)).select(["hi", "lo", "doc_id"])
+
+    return every.mapInArrow(rows, f"hi long, lo long, doc_id {kind}")
+
+
 def build(docs: DataFrame, min_chars: int = MIN_CHARS, shards: int = SHARDS) -> LineState:
     refs = materialise(_refs_of(docs, min_chars, shards).distinct())
     counts = materialise(_counted(refs))
@@ -133,14 +167,16 @@ def insert(state: LineState, docs: DataFrame, min_chars: int = MIN_CHARS, shards
 
 def delete(state: LineState, doc_ids: DataFrame) -> LineState:
     """The state without the documents in doc_ids (column doc_id): as if they had never come."""
-    gone = doc_ids.select(F.col("doc_id").cast("long")).distinct()
+    gone = doc_ids.select("doc_id").distinct()
     removed = materialise(state.refs.join(gone, "doc_id", "left_semi"))
     return _change(state, state.refs.join(gone, "doc_id", "left_anti").select("shard", "hi", "lo", "doc_id"), removed)
 
 
-def _drops(refs: DataFrame, counts: DataFrame) -> DataFrame:
-    """key_, drop_: a doc_id and the keys whose lines that document loses."""
-    lost = lookup(refs.select("hi", "lo", "doc_id"), counts.select("hi", "lo", "n_docs", "first_doc"), ["hi", "lo"], "n_docs").filter("doc_id <> first_doc")
+def _drops(refs: DataFrame, counts: DataFrame, filters: DataFrame | None = None) -> DataFrame:
+    """key_, drop_: a doc_id and the keys whose lines that document loses. Refs pass the filters, if
+    any are given, before they are looked up; those of hot keys need not."""
+    sift = None if filters is None else (lambda cold: _sifted(cold, filters))
+    lost = lookup(refs.select("hi", "lo", "doc_id"), counts.select("hi", "lo", "n_docs", "first_doc"), ["hi", "lo"], "n_docs", sift=sift).filter("doc_id <> first_doc")
     return lost.groupBy(F.col("doc_id").alias("key_")).agg(F.collect_set(F.struct("hi", "lo")).alias("drop_"))
 
 
@@ -165,9 +201,11 @@ def apply(docs: DataFrame, state: LineState, min_chars: int = MIN_CHARS, shards:
 
 def _marked(docs: DataFrame, state: LineState, min_chars: int, shards: int, filter_bytes: int) -> DataFrame:
     """docs with drop_, the keys whose lines each row loses."""
+    shards = state.shards or shards
     sent = _sent(docs.sparkSession, state.filters, filter_bytes)
-    drops = _drops(_refs_of(docs, min_chars, shards, sent), state.counts.filter("n_docs >= 2"))
-    return docs.join(drops, docs["doc_id"].cast("long") == drops["key_"], "left").drop("key_")
+    filters = None if sent is not None else state.filters.withColumn("shards", F.lit(shards))
+    drops = _drops(_refs_of(docs, min_chars, shards, sent), state.counts.filter("n_docs >= 2"), filters)
+    return docs.join(drops, docs["doc_id"] == drops["key_"], "left").drop("key_")
 
 
 def _without(batch: pa.RecordBatch, min_chars: int) -> list[tuple[str, int, int]]:
@@ -189,7 +227,10 @@ def _state_of(docs: DataFrame, min_chars: int, shards: int) -> LineState:
     refs = _refs_of(docs, min_chars, shards)
     ends = refs.groupBy("shard", "hi", "lo").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
     counts = materialise(ends.filter("first_doc < last_doc").drop("last_doc"))
-    return LineState(None, counts, materialise(_filters(counts)))
+    while shards * SHARD_KEYS < counts.count():
+        shards *= 2
+    counts = counts.withColumn("shard", F.col("hi").bitwiseAND(F.lit(shards - 1)).cast("int"))
+    return LineState(None, counts, materialise(_filters(counts)), shards)
 
 
 def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, shards: int = SHARDS, filter_bytes: int = FILTER_BYTES) -> DataFrame:
@@ -217,6 +258,7 @@ def dedup_documents(docs: DataFrame, min_chars: int = MIN_CHARS, shards: int = S
 
 
 def op10_line_dedup(spark, sf_dir):
+    """Every document: its lines, how many of them go, and what stays."""
     out = line_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
