@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import materialise, whole_text
+from .common import materialise, table, whole_text
 
 #: Digests that the frequent-items sketch may report, and counters that it keeps.
 #: Both are fixed, so that what is broadcast has the same bound at any size.
@@ -18,7 +19,8 @@ def exact_groups(docs: DataFrame, reported: int = REPORTED, counters: int = COUN
     A frequent-items sketch of the Misra-Gries family finds candidates for frequent digests in one
     pass with fixed memory. Their sizes and winners are then counted exactly, and broadcast (at most
     `reported` rows), so the rows of frequent digests are settled where they are and never shuffled.
-    All other digests are shuffled, each group then being a small share of the rows.
+    All other digests are shuffled once, each group then being at most a 1/counters of the rows, and
+    settled by a window that spills.
 
     The row with the largest doc_id of equal texts stays. Null text counts as empty. Null doc_ids
     lose to any other; a group of nulls only has keep_id null and keeps its rows. Rows that repeat
@@ -33,10 +35,9 @@ def exact_groups(docs: DataFrame, reported: int = REPORTED, counters: int = COUN
     )
     near = rows.join(F.broadcast(winners), "text_sha256")
     rest = rows.join(F.broadcast(winners.select("text_sha256")), "text_sha256", "left_anti")
-    counted = rest.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"), F.collect_list("doc_id").alias("ids"), F.count_if(F.isnull("doc_id")).alias("nulls"))
-    ids = F.concat(F.col("ids"), F.array_repeat(F.lit(None).cast(dict(rows.dtypes)["doc_id"]), F.col("nulls").cast("int")))
-    far = counted.select("text_sha256", "keep_id", "group_size", F.explode(ids).alias("doc_id"))
-    every = near.select("doc_id", "keep_id", "group_size", "text_sha256").unionByName(far)
+    group = Window.partitionBy("text_sha256")
+    far = rest.withColumns({"keep_id": F.max("doc_id").over(group), "group_size": F.count("*").over(group)})
+    every = near.select("doc_id", "keep_id", "group_size", "text_sha256").unionByName(far.select("doc_id", "keep_id", "group_size", "text_sha256"))
     return every.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
@@ -48,8 +49,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
 
 def op6_exact_dedup(spark, sf_dir):
-    from .common import table
-
+    """Every document with the one of its group that stays."""
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
