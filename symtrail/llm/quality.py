@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced, table
+from .common import shipped, sliced, table
 
 #: The model is fitted on at most this many labelled rows, drawn by a hash of doc_id, and this many
 #: preference pairs. Scoring covers all rows and whole texts.
@@ -90,8 +90,16 @@ def _logistic(d: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray
     return w
 
 
+def _threshold(raw: np.ndarray, rejected: int) -> float:
+    """The quantile of the scores at the share of rejected rows: midway between the last score that
+    falls below it and the first that does not."""
+    order = np.sort(raw)
+    return float((order[rejected - 1] + order[rejected]) / 2)
+
+
 def fit(x: np.ndarray, label: np.ndarray, pairs: int = PAIRS, seed: int = 7) -> Model:
-    """Bradley-Terry weights from preference pairs, threshold by the quantile of rejected labels.
+    """Bradley-Terry weights from preference pairs; the threshold is the quantile of the sample's
+    scores at the share of rejected labels.
 
     With labels of one kind only nothing can be ranked: every score is then that kind's, 1 or 0
     (1 with no labels at all).
@@ -107,14 +115,7 @@ def fit(x: np.ndarray, label: np.ndarray, pairs: int = PAIRS, seed: int = 7) ->
     a, b = rng.choice(good, pairs), rng.choice(bad, pairs)
     weights = _logistic(z[a] - z[b])
     raw = z @ weights
-    order = np.sort(raw)
-    # the quantile at the share of rejected rows, moved to where the sample's errors are fewest
-    cuts = (order[1:] + order[:-1]) / 2
-    below_bad = np.searchsorted(np.sort(raw[bad]), cuts)
-    below_good = np.searchsorted(np.sort(raw[good]), cuts)
-    wrong = (len(bad) - below_bad) + below_good
-    threshold = float(cuts[np.argmin(wrong)]) if len(cuts) else float(np.quantile(raw, len(bad) / len(raw)))
-    return model._replace(weights=weights, threshold=threshold)
+    return model._replace(weights=weights, threshold=_threshold(raw, len(bad)))
 
 
 def with_features(docs: DataFrame) -> DataFrame:
@@ -126,7 +127,7 @@ def with_features(docs: DataFrame) -> DataFrame:
             x = [features(t) for t in batch.column(names.index("text")).to_pylist()]
             yield pa.record_batch([batch.column(names.index("doc_id")), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "x"])
 
-    return docs.select("doc_id", "text").mapInArrow(rows, f"doc_id {dict(docs.dtypes)['doc_id']}, x array<double>")
+    return shipped(docs).select("doc_id", "text").mapInArrow(rows, f"doc_id {dict(docs.dtypes)['doc_id']}, x array<double>")
 
 
 def fold(doc_id: Column) -> Column:
@@ -161,7 +162,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             score = model.scores(x)
             yield pa.record_batch([batch.column(names.index("doc_id")), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    return docs.select("doc_id", "text").mapInArrow(rows, f"doc_id {dict(docs.dtypes)['doc_id']}, score double, predicted int")
+    return shipped(docs).select("doc_id", "text").mapInArrow(rows, f"doc_id {dict(docs.dtypes)['doc_id']}, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -175,10 +176,11 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
             x = np.array([features(t) for t in texts], float).reshape(len(texts), len(FEATURES))
             yield batch.filter(pa.array(model.scores(x) >= 0.5))
 
-    return docs.mapInArrow(rows, schema)
+    return shipped(docs).mapInArrow(rows, schema)
 
 
 def op3_quality_classifier(spark, sf_dir):
+    """Every document with its score; held out where its fold is 1."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     out = scored(docs, train(docs, labels))
     return out.select("doc_id", (fold(F.col("doc_id")) == 1).alias("held_out"), "score", "predicted")
