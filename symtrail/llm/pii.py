@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from .common import lookup, materialise, table, whole_text
 
-KEY = "surrogates"
+#: The setting of the session that holds the key, and the key where it is unset, as in tests.
+KEY_SETTING, KEY = "spark.symtrail.surrogate.key", "surrogates"
 #: Rounds in which surrogates that collide are drawn anew; each leaves a tiny share of the last.
 ROUNDS = 20
 #: After so many draws of an entity its surrogate gets one more letter or syllable.
@@ -117,6 +118,28 @@ def _card(text: Column, seed: Column) -> Column:
     return F.when(valid, F.concat(F.left(drawn, F.char_length(drawn) - 1), last.cast("string"))).otherwise(drawn)
 
 
+def _iban_rest(text: Column) -> Column:
+    """What an account number leaves modulo 97, its first four characters taken last; letters count
+    from ten on."""
+    bare = F.replace(text, F.lit(" "), F.lit(""))
+    turned = F.concat(F.substring(bare, F.lit(5), F.char_length(bare)), F.left(bare, F.lit(4)))
+
+    def step(rest: Column, c: Column) -> Column:
+        value = F.when(c.rlike("[0-9]"), c.cast("int")).otherwise(F.ascii(c) - 55)
+        return F.pmod(rest * F.when(value > 9, 100).otherwise(10) + value, F.lit(97))
+
+    return F.aggregate(F.split(turned, ""), F.lit(0), step)
+
+
+def _iban(text: Column, seed: Column) -> Column:
+    """The country stays; where the check digits were right, they are right again."""
+    drawn = F.concat(F.left(text, F.lit(2)), _scrambled(F.expr("substring(entity_, 3)"), seed))
+    rest = F.substring(drawn, F.lit(5), F.char_length(drawn))
+    check = 98 - _iban_rest(F.concat(F.left(text, F.lit(2)), F.lit("00"), rest))
+    checked = F.concat(F.left(text, F.lit(2)), F.lpad(check.cast("string"), 2, "0"), rest)
+    return F.when(_iban_rest(text) == 1, checked).otherwise(drawn)
+
+
 def _is_initial(word: Column) -> Column:
     return word.rlike(rf"^(?:{_INITIAL}|\p{{Lu}})$")
 
@@ -150,7 +173,7 @@ def surrogate(key: str, kind: Column, gender: Column, attempt: Column) -> Column
         F.when(kind == "email", F.concat(_scrambled(F.concat(longer, F.left(entity, F.char_length(entity) - at)), seed), tail))
         .when(kind == "secret", F.concat(prefix, _scrambled(F.concat(longer, value), seed, F.lower(value).rlike("^[0-9a-f]+[\"']?$"))))
         .when(kind == "access_key", F.concat(F.left(entity, F.lit(4)), _scrambled(F.expr("substring(entity_, 5)"), seed)))
-        .when(kind == "iban", F.concat(F.left(entity, F.lit(2)), _scrambled(F.expr("substring(entity_, 3)"), seed)))
+        .when(kind == "iban", _iban(entity, seed))
         .when(kind == "phone", F.concat(plus, _scrambled(F.substring(entity, F.char_length(plus) + 1, F.char_length(entity)), seed)))
         .when(kind == "card", _card(entity, seed))
         .when(kind == "ip", octets)
@@ -263,4 +286,5 @@ def _woven(between: Column, put: Column) -> Column:
 
 
 def op8_pii_surrogates(spark, sf_dir):
-    return pseudonymised(table(spark, sf_dir, "documents"))
+    """The documents that hold personal data or secrets, with surrogates in their place."""
+    return pseudonymised(table(spark, sf_dir, "documents"), spark.conf.get(KEY_SETTING, KEY))
