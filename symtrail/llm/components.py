@@ -22,12 +22,13 @@ def _toward_least(links: DataFrame, larger_only: bool) -> DataFrame:
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, rounds: int = 200) -> DataFrame:
     """node, root for every node of links (a, b long): root is the least node that links reach.
 
     Alternating large-star and small-star steps, which take a number of rounds that grows with the
     logarithm of the longest chain. Each round's links are written to the shared folder, so a lost
-    executor costs no earlier round. Ends when a round changes nothing.
+    executor costs no earlier round. Ends when a round changes nothing; raises if `rounds` of them,
+    far more than any graph that fits on disk needs, do not settle it.
     """
     down = materialise(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
     before = None
@@ -37,4 +38,6 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components are not settled after {rounds} rounds")
     return down.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")).unionByName(down.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

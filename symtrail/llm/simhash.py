@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .common import materialise, sliced, table
+from .common import lookup, materialise, shipped, sliced, table
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
 #: A bucket of more distinct fingerprints is split by a second set of masks.
@@ -57,7 +57,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> D
             fps = np.array([fingerprint(t, shingle, seed) for t in batch.column(names.index("text")).to_pylist()], np.uint64)
             yield pa.record_batch([batch.column(names.index("doc_id")), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(rows, f"doc_id {dict(docs.dtypes)['doc_id']}, fp long")
+    return shipped(docs).select("doc_id", "text").mapInArrow(rows, f"doc_id {dict(docs.dtypes)['doc_id']}, fp long")
 
 
 def _tables(fps: DataFrame, radius: int, mask_sets: dict | None = None) -> DataFrame:
@@ -134,7 +134,7 @@ def fingerprint_links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET
     dealt = _tables(fps, radius)
     sizes = dealt.groupBy("mask", "key").agg(F.count("*").alias("n")).filter("n > 1")
     sizes = materialise(sizes)
-    rows = dealt.join(sizes, ["mask", "key"])
+    rows = lookup(dealt, sizes, ["mask", "key"], "n")
     small = rows.filter(F.col("n") <= bucket).select("mask", "key", "fp")
     masks = covering_masks(list(range(64)), radius)
     second = [covering_masks([p for p in range(64) if not int(m) >> p & 1], radius) | m for m in masks]
@@ -162,8 +162,6 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, radiu
     named = classes.join(member.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "first_id", "n", F.coalesce("root", "fp").alias("root"))
     best = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     labels = materialise(named.join(best, "root").select("fp", "n", "component_id"))
-    from .common import lookup
-
     out = lookup(rows, labels, ["fp"], "n")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -179,4 +177,5 @@ def one_of_each(docs: DataFrame, **parameters) -> DataFrame:
 
 
 def op7_simhash_near_dedup(spark, sf_dir):
+    """Every document with its fingerprint and its group."""
     return near_groups(table(spark, sf_dir, "documents"))
