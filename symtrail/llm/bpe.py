@@ -18,8 +18,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-#: Stretches whose ids a task remembers; beyond, it forgets those of the batch at hand.
-CACHED = 300_000
+from .common import shipped, table
+
+#: Stretches whose ids a task remembers; beyond, it forgets those of the batch at hand. Longer ones
+#: than LONGEST characters, as text without white space has, are never remembered.
+CACHED, LONGEST = 300_000, 64
 VOCABULARY = "word_bpe_49k.json"
 
 
@@ -162,6 +165,9 @@ class WordBPE:
         for chunks in parts:
             ids = " ".join(map(ids_of, chunks))
             out.append((ids, " ".join(map(text_of, chunks)), ids.count(" ") + 1 if ids else 0))
+        for chunk in [c for c in new if len(c) > LONGEST]:
+            del self.ids_of[chunk], self.text_of_chunk[chunk]
+        new = [c for c in new if len(c) <= LONGEST]
         if len(self.ids_of) > CACHED:  # the first ones met are mostly the frequent ones; rare ones are merged again
             for chunk in new:
                 del self.ids_of[chunk], self.text_of_chunk[chunk]
@@ -230,12 +236,11 @@ def bpe(docs: DataFrame, path: str, with_ids: bool = True) -> DataFrame:
                 at = stop
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(rows, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
+    return shipped(docs).select("doc_id", "text").mapInArrow(rows, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
 
 
 def op2_bpe(spark, sf_dir):
+    """Every document's ids, as their number and digest, and the digest of what they decode to."""
     import public_tokenizers
 
-    from .common import table
-
     return bpe(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), with_ids=False)
