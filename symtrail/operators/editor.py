@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import display_kind, module_prefix
 from .lookup import in_file, symbols_in_file_indexed
 from .rank import language_of
-from .search import search_ranked
+from .search import cascade, search, search_ranked
 
 # The keywords of F#.
 KEYWORDS = (
@@ -82,6 +82,14 @@ def hover(symbols: DataFrame, qualified: str) -> DataFrame:
     return symbols.filter(F.col("qualified") == qualified).orderBy("id").limit(1).select("qualified", text.alias("text")).filter("text is not null")
 
 
+def documentation(symbols: DataFrame, name: str) -> DataFrame:
+    """qualified, signature, doc: of the qualified name itself, else of the first hit of the pattern
+    search; a symbol without a doc has a row with none."""
+    columns = ["qualified", "signature", "doc"]
+    exact = symbols.filter(F.col("qualified") == name).orderBy("id").limit(1).select(*columns)
+    return cascade(exact, search(symbols, name, 1).select(*columns)).drop("branch")
+
+
 def diagnostics_of(diagnostics: DataFrame, file: str) -> DataFrame:
     return diagnostics.filter((F.col("file") == file) & (F.col("severity") == "error"))
 

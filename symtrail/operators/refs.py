@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import matches_name
+from ..functions.text import matches_name, normalise_path, under
 from ..schema import CALLABLE
 
 
@@ -85,8 +85,11 @@ def refs_resolved_or_external(symbols: DataFrame, refs: DataFrame, file: str) ->
     return own.join(first, "name", "left").select("name", "file", "line", "column", F.coalesce("defined_in", F.lit("<external>")).alias("defined_in"))
 
 
-def with_lines(refs: DataFrame, sources: DataFrame, context: int = 0, numbered: bool = False) -> DataFrame:
-    """refs with context: the lines around each, joined by newlines. sources: path, content."""
+def with_lines(refs: DataFrame, sources: DataFrame, context: int = 0, numbered: bool = False, root: str | None = None) -> DataFrame:
+    """refs with context: the lines around each, joined by newlines. sources: path, content. With a
+    root, files outside of it are never shown, however their paths are written."""
+    if root is not None:
+        sources = sources.filter(under(normalise_path(F.col("path")), root.rstrip("/")))
     lines = sources.select(F.col("path").alias("file"), F.split("content", "\n").alias("lines_"))
     joined = refs.join(lines, "file", "left")
     first = F.greatest(F.col("line") - context, F.lit(1))
