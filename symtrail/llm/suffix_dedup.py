@@ -2,33 +2,39 @@
 
 Two places of the corpus matter to each other only if the L bytes from there agree, so suffixes are
 ordered through L bytes and no further, most significant digit first, and a suffix that is alone in
-its group leaves the sort. The digits are chosen so that the first passes take many suffixes at once:
+its group leaves the sort. The digits are chosen so that a pass takes many suffixes at once:
 
   pass 1  The digit is the K-byte string in the window whose hash is least (the leftmost of equal
-          ones). Equal windows have the same one, at the same offset. Neighbouring suffixes share
-          it: they form a run, a stretch of at most 2 L - K bytes.
-  pass 2  The digit is the whole run. Runs that occur twice are settled: all their windows repeat.
-  pass 3  Of groups with several different runs, one of each is fetched, and their windows go
-          through digits of a quarter of L each, in batches of groups, until they are alone or L
-          bytes agree.
-
-Digits are compared by 64-bit polynomial hashes: a window by four of them, a run by two.
+          ones). Equal windows have the same one, at the same offset p from their start. Neighbouring
+          suffixes share it: they form a run, a stretch of at most 2 L - K bytes.
+  then    Every further pass cuts what is left of a run into pieces by p, on a grid that gets finer
+          from pass to pass. The digit of a piece is its core, the bytes that all windows of its cell
+          of the grid share; as cells narrow to one window, cores grow to L bytes.
+
+In each pass (pass 1 too) pieces that are equal as a whole are settled: all their windows repeat. A
+group goes on with one piece of each different kind, if there are several and one is not settled.
+So a run makes a few rows a pass at each end of what it shares, however large its group; groups are
+aggregates with map-side partials, never rows of one task.
+
+Pieces are equal by 128-bit BLAKE2b digests of their bytes. The rolling hashes of pass 1 only choose
+and group: strings that collide there share a group, and no more.
 """
 
 from __future__ import annotations
 
 from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, lookup, materialise, sliced, table
+from .common import cut, lookup, materialise, shipped, sliced, table
 
 LENGTH, ANCHOR = 400, 128
-#: Groups with more different runs go through pass 3 by a shuffle of window hashes instead.
-GROUP_RUNS = 1024
+#: How many times finer the grid of offsets gets from pass to pass.
+FAN = 4
 _PLACE = 18
 _BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -64,12 +70,14 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def _runs(pieces: list[bytes], length: int, anchor: int):
-    """Passes 1 and 2 over byte strings: piece, first and last window, anchor place, two digits."""
+    """Runs of byte strings: piece, first and last window, anchor place, its hash, the run's digest."""
     sizes = np.array([len(p) for p in pieces], np.int64)
-    flat = np.frombuffer(b"".join(pieces), np.uint8)
+    joined = b"".join(pieces)
+    flat = np.frombuffer(joined, np.uint8)
     n = len(flat)
+    none = (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64), np.zeros((0, 2), np.int64))
     if n < length:
-        return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),) * 2
+        return none
     up, down = _powers((1 << _PLACE) + 1)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(_byte_values()[flat] * up[:n], out=total[1:])
@@ -80,14 +88,20 @@ def _runs(pieces: list[bytes], length: int, anchor: int):
     piece = np.repeat(np.arange(len(pieces)), sizes)[: n - length + 1]
     at = np.flatnonzero(np.arange(n - length + 1) + length <= ends[piece])
     if not len(at):
-        return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),) * 2
+        return none
     where = least[at].astype(np.int64)
     new = np.flatnonzero(np.append(True, (where[1:] != where[:-1]) | (at[1:] != at[:-1] + 1)))
     first, last = at[new], at[np.append(new[1:], len(at)) - 1]
     anchors, owner = where[new], piece[at[new]]
-    run = _mixed((total[last + length] - total[first]) * down[first] + (last - first).astype(np.uint64))
+    view = memoryview(joined)
+    digest = _digests(view[x:y] for x, y in zip(first.tolist(), (last + length).tolist(), strict=True))
     base = (ends - sizes)[owner]
-    return owner, first - base, last - base, anchors - base, grams[anchors], run
+    return owner, first - base, last - base, anchors - base, grams[anchors], digest
+
+
+def _digests(strings) -> np.ndarray:
+    """Two longs for each byte string, its 128-bit digest."""
+    return np.frombuffer(b"".join(blake2b(x, digest_size=16).digest() for x in strings), "<i8").reshape(-1, 2)
 
 
 def _pieces(text: bytes, length: int):
@@ -102,8 +116,8 @@ def _anchored(docs: DataFrame, length: int, anchor: int) -> DataFrame:
         def done(pieces, ids):
             owner, first, last, where, gram, run = _runs(pieces, length, anchor)
             doc, tag, base = (np.array(x, np.int64)[owner] for x in zip(*ids, strict=True))
-            cols = [gram.view(np.int64), run.view(np.int64), doc, tag, first + base, last + base, where + base]
-            return pa.record_batch([pa.array(c) for c in cols], names=["gram", "run", "id_", "tag_", "first", "last", "at"])
+            cols = [gram.view(np.int64), run[:, 0].copy(), run[:, 1].copy(), doc, tag, first + base, last + base, where + base]
+            return pa.record_batch([pa.array(c) for c in cols], names=["gram", "hi", "lo", "id_", "tag_", "first", "last", "at"])
 
         pieces, ids, size = [], [], 0
         for batch in sliced(batches):
@@ -122,154 +136,120 @@ def _anchored(docs: DataFrame, length: int, anchor: int) -> DataFrame:
         if pieces:
             yield done(pieces, ids)
 
-    return docs.mapInArrow(rows, "gram long, run long, id_ long, tag_ long, first long, last long, at long")
+    return docs.mapInArrow(rows, "gram long, hi long, lo long, id_ long, tag_ long, first long, last long, at long")
 
 
-def _digits(runs: list[bytes], length: int):
-    """run's number, window's number in it, and four digits for every window of every run."""
-    widest = max(map(len, runs))
-    sizes = np.array([len(r) for r in runs])
-    grid = np.zeros((len(runs), widest), np.uint8)
-    for i, r in enumerate(runs):
-        grid[i, : len(r)] = np.frombuffer(r, np.uint8)
-    up, down = _powers((1 << _PLACE) + 1)
-    total = np.zeros((len(runs), widest + 1), np.uint64)
-    np.cumsum(_byte_values()[grid] * up[:widest], axis=1, out=total[:, 1:])
-    cuts = [length * i // 4 for i in range(5)]
-    wide = widest - length + 1
-    inside = np.arange(wide) <= (sizes - length)[:, None]
-    run, window = np.nonzero(inside)
-    out = []
-    for a, b in zip(cuts, cuts[1:], strict=False):
-        d = (total[:, b : b + wide] - total[:, a : a + wide]) * down[a : a + wide]
-        out.append(_mixed(d[inside]))
-    return run, window, out
-
-
-def _repeated(group: np.ndarray, lead: np.ndarray, runs: list[bytes], length: int):
-    """Pass 3 over runs of several groups: the numbers of the runs and windows that repeat."""
-    parts = [_digits(runs[i : i + 256], length) for i in range(0, len(runs), 256)]
-    run = np.concatenate([p[0] + 256 * i for i, p in enumerate(parts)])
-    window = np.concatenate([p[1] for p in parts])
-    digits = [np.concatenate([p[2][d] for p in parts]) for d in range(4)]
-    kind = group[run] * (1 << 12) + (lead[run] - window)  # equal windows have their anchor at the same offset
-    live = np.arange(len(run))
-    for digit in [None, *digits]:
-        keys = kind[live] if digit is None else digit[live]
-        order = np.lexsort((keys, kind[live]))
-        live, keys = live[order], keys[order]
-        same = (kind[live][1:] == kind[live][:-1]) & (keys[1:] == keys[:-1])
-        number = np.cumsum(np.append(True, ~same)) - 1
-        many = np.bincount(number)[number] > 1
-        kind[live] = number
-        live = live[many]
-        if not len(live):
-            break
-    live.sort()
-    return run[live], window[live]
-
-
-def _spans_of(run: np.ndarray, window: np.ndarray, length: int):
-    """run, start, end of each maximal stretch of windows in turn."""
-    if not len(run):
-        return run, window, window
-    new = np.flatnonzero(np.append(True, (run[1:] != run[:-1]) | (window[1:] != window[:-1] + 1)))
-    return run[new], window[new], window[np.append(new[1:], len(run)) - 1] + length
-
-
-_SPAN = "id_ long, tag_ long, start long, end long"
-
-
-def _sorted_groups(length: int, together: int = 1024):
-    def rows(batches):
-        names = ["gram", "run", "n", "id_", "tag_", "first", "at", "bytes"]
-        held = None
-
-        def done(part: pa.Table):
-            data = {n: part.column(n).to_numpy() for n in names[:-1]}
-            _, group = np.unique(data["gram"], return_inverse=True)
-            run, window = _repeated(group.astype(np.int64), data["at"] - data["first"], part.column("bytes").to_pylist(), length)
-            once = data["n"][run] == 1  # of the others all windows repeat anyway
-            run, start, end = _spans_of(run[once], window[once], length)
-            first = data["first"][run]
-            return pa.record_batch([pa.array(x) for x in (data["id_"][run], data["tag_"][run], first + start, first + end)], names=["id_", "tag_", "start", "end"])
-
-        for batch in batches:
-            part = pa.Table.from_batches([batch.select(names)])
-            held = part if held is None else pa.concat_tables([held, part])
-            gram = held.column("gram").to_numpy()
-            starts = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))  # whole groups, `together` runs or so at a time
-            at = 0
-            while len(gram) - at > together and (later := starts[starts > at]).size:
-                near = later[later <= at + together]
-                stop = int(near[-1] if near.size else later[0])
-                yield done(held.slice(at, stop - at).combine_chunks())
-                at = stop
-            held = held.slice(at).combine_chunks()
-        if held is not None and len(held):
-            yield done(held)
+def _widths(length: int, anchor: int, fan: int) -> list[int]:
+    """Cell widths of the grid of offsets 0 to length - anchor in each pass after the first."""
+    widths = [1]
+    while widths[0] * fan * 2 < length - anchor + 1:
+        widths.insert(0, widths[0] * fan)
+    return widths
 
-    return rows
 
+def _cells(length: int, anchor: int, width: int):
+    """Cut each run's pieces (offsets from low to high) by the grid; digests of cores and of pieces."""
 
-def _hashed_windows(length: int):
     def rows(batches):
-        for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.slice(at, 256)
-                run, window, digits = _digits(part.column(part.schema.get_field_index("bytes")).to_pylist(), length)
-                col = lambda n: part.column(part.schema.get_field_index(n)).to_numpy()[run]  # noqa: B023, E731
-                one, two = _mixed(digits[0] + _mixed(digits[1])), _mixed(digits[2] + _mixed(digits[3]))
-                start = col("first") + window
-                yield pa.record_batch([pa.array(x) for x in (col("gram"), one.view(np.int64), two.view(np.int64), col("n"), col("id_"), col("tag_"), start, start + length)], names=["gram", "one", "two", "many", "id_", "tag_", "start", "end"])
+        for batch in sliced(batches):
+            names = batch.schema.names
+            own = {n: batch.column(names.index(n)).to_pylist() for n in ("at", "first", "bytes", "pieces")}
+            row, low, high, n, cores, wholes = [], [], [], [], [], []
+            for i, (at, first, data, pieces) in enumerate(zip(*own.values(), strict=True)):
+                anchored, view = at - first, memoryview(data)
+                for piece in pieces:
+                    for cell in range(piece["low"] // width, piece["high"] // width + 1):
+                        begin, stop = cell * width, min((cell + 1) * width - 1, length - anchor)
+                        a, b = max(piece["low"], begin), min(piece["high"], stop)
+                        row.append(i)
+                        low.append(a)
+                        high.append(b)
+                        n.append(piece["n"])
+                        wholes.append(view[anchored - b : anchored - a + length])
+                        cores.append(blake2b(view[anchored - begin : anchored - stop + length], digest_size=8, salt=cell.to_bytes(16, "little")).digest())
+            whole = _digests(wholes)
+            key = [batch.column(names.index(x)).take(pa.array(row, pa.int64())) for x in ("id_", "tag_", "first", "at")]
+            cols = [np.frombuffer(b"".join(cores), "<i8"), whole[:, 0].copy(), whole[:, 1].copy()]
+            yield pa.record_batch([*map(pa.array, cols), *key, *(pa.array(x, pa.int64()) for x in (low, high, n))], names=["gram", "hi", "lo", "id_", "tag_", "first", "at", "low", "high", "n"])
 
     return rows
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, group_runs: int = GROUP_RUNS) -> DataFrame:
-    """id_, tag_, start, end in bytes: stretches whose windows of `length` bytes start elsewhere too.
+_CELL = "gram long, hi long, lo long, id_ long, tag_ long, first long, at long, low long, high long, n long"
+_WHOLE = ["gram", "hi", "lo"]
 
-    docs has id_, tag_ (which name a row) and text. The stretches of a row may overlap.
-    """
-    found = materialise(_anchored(docs, length, anchor))
-    one = F.min(F.struct("id_", "tag_", "first", "last", "at")).alias("one")
-    classes = materialise(found.groupBy("gram", "run").agg(F.count("*").alias("n"), one))
-    twice = classes.filter("n > 1").select("gram", "run", "n")
-    settled = lookup(found, twice, ["gram", "run"], "n").select("id_", "tag_", F.col("first").alias("start"), (F.col("last") + length).alias("end"))
-    several = materialise(classes.groupBy("gram").agg(F.count("*").alias("kinds")).filter("kinds > 1"))
-    unsettled = lookup(classes, several, ["gram"], "kinds").select("gram", "run", "n", "kinds", "one.*")
-    wanted = unsettled.groupBy("id_", "tag_").agg(F.collect_list(F.struct("gram", "run", "n", "kinds", "first", "last", "at")).alias("wanted_"))
-
-    def fetch(batches):
+
+def _pass(pieces: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """One pass over pieces (_CELL; gram is the digit, hi and lo the piece as a whole, n the number
+    of equal pieces that a row stands for, of which more than one are settled already).
+
+    The spans of pieces settled now, and the pieces that go on by the run that they are of. Pieces
+    alone in their group, which most are, leave before anything else is done."""
+    shared = materialise(pieces.groupBy("gram").agg(F.count("*").alias("many")).filter("many > 1"))
+    pieces = materialise(lookup(pieces, shared, ["gram"], "many").drop("many"))
+    one = F.min(F.struct("id_", "tag_", "first", "at", "low", "high")).alias("one")
+    kinds = materialise(pieces.groupBy(*_WHOLE).agg(F.sum("n").alias("n"), one))
+    same = kinds.filter("n > 1").select(*_WHOLE, F.col("n").alias("same"))
+    settled = lookup(pieces.filter("n = 1"), same, _WHOLE, "same")
+    spans = settled.select("id_", "tag_", (F.col("at") - F.col("high")).alias("start"), (F.col("at") - F.col("low") + length).alias("end"))
+    groups = kinds.groupBy("gram").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).filter("kinds > 1 and least = 1")
+    left = lookup(kinds, materialise(groups.select("gram", "kinds")), ["gram"], "kinds")
+    by_run = left.groupBy("one.id_", "one.tag_", "one.first", "one.at").agg(F.collect_list(F.struct("one.low", "one.high", "n")).alias("pieces"))
+    return spans, by_run
+
+
+def _with_bytes(docs: DataFrame, runs: DataFrame, length: int) -> DataFrame:
+    """runs (id_, tag_, first, at, pieces) with the bytes of their pieces, cut from the texts."""
+    wanted = runs.groupBy("id_", "tag_").agg(F.collect_list(F.struct("first", "at", "pieces")).alias("runs_"))
+
+    def rows(batches):
         for batch in sliced(batches):
             names = batch.schema.names
-            cols: list[list] = [[] for _ in range(9)]
-            for doc, tag, text, wanted in zip(*(batch.column(names.index(x)).to_pylist() for x in ("id_", "tag_", "text", "wanted_")), strict=True):
-                data = (text or "").encode()
-                for x in wanted:
-                    for c, v in zip(cols, (x["gram"], x["run"], x["n"], x["kinds"], doc, tag, x["first"], x["at"], data[x["first"] : x["last"] + length]), strict=True):
-                        c.append(v)
-            yield pa.record_batch([*(pa.array(c, pa.int64()) for c in cols[:8]), pa.array(cols[8], pa.binary())], names=["gram", "run", "n", "kinds", "id_", "tag_", "first", "at", "bytes"])
+            of, data = [], []
+            held = batch.column(names.index("runs_"))
+            for i, (text, runs) in enumerate(zip(batch.column(names.index("text")).to_pylist(), held.to_pylist(), strict=True)):
+                text = (text or "").encode()
+                of += [i] * len(runs)
+                data += [text[x["first"] : x["at"] - min(p["low"] for p in x["pieces"]) + length] for x in runs]
+            key = [batch.column(names.index(x)).take(pa.array(of, pa.int64())) for x in ("id_", "tag_")]
+            yield pa.record_batch([*key, *held.flatten().flatten(), pa.array(data, pa.binary())], names=["id_", "tag_", "first", "at", "pieces", "bytes"])
 
-    runs = docs.join(wanted, ["id_", "tag_"]).mapInArrow(fetch, "gram long, run long, n long, kinds long, id_ long, tag_ long, first long, at long, bytes binary")
-    runs = materialise(runs)
-    few = runs.filter(F.col("kinds") <= group_runs).repartition("gram").sortWithinPartitions("gram").mapInArrow(_sorted_groups(length), _SPAN)
-    windows = runs.filter(F.col("kinds") > group_runs).mapInArrow(_hashed_windows(length), "gram long, one long, two long, many long, id_ long, tag_ long, start long, end long")
-    equal = windows.groupBy("gram", "one", "two").agg(F.count("*").alias("same")).filter("same > 1")
-    many = lookup(windows.filter("many = 1"), equal, ["gram", "one", "two"], "same").select("id_", "tag_", "start", "end")
-    return settled.unionByName(few).unionByName(many)
+    # rows that repeat (id_, tag_) are one text
+    texts = docs.join(wanted, ["id_", "tag_"]).dropDuplicates(["id_", "tag_"])
+    return texts.mapInArrow(rows, "id_ long, tag_ long, first long, at long, pieces array<struct<low:bigint,high:bigint,n:bigint>>, bytes binary")
 
 
-def suffix_dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, group_runs: int = GROUP_RUNS) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, fan: int = FAN) -> DataFrame:
+    """id_, tag_, start, end in bytes: stretches whose windows of `length` bytes start elsewhere too.
+
+    docs has id_, tag_ (which name a row) and text. The stretches of a row may overlap.
+    """
+    found = materialise(_anchored(docs, length, anchor))
+    offsets = [(F.col("at") - F.col("last")).alias("low"), (F.col("at") - F.col("first")).alias("high"), F.lit(1).cast("long").alias("n")]
+    spans, runs = _pass(found.select(*_WHOLE, "id_", "tag_", "first", "at", *offsets), length)
+    runs = materialise(_with_bytes(docs, runs, length))
+    widths = _widths(length, anchor, fan)
+    for width in widths:
+        pieces = materialise(runs.mapInArrow(_cells(length, anchor, width), _CELL))
+        more, left = _pass(pieces, length)
+        spans = spans.unionByName(more)
+        if width > 1:  # a piece of one window is its core
+            runs = materialise(runs.drop("pieces").join(left, ["id_", "tag_", "first", "at"]))
+            if runs.isEmpty():
+                break
+    return spans
+
+
+def suffix_dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, fan: int = FAN) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary) for each row of docs.
 
     A byte goes if a string of `length` bytes that covers it also starts anywhere else, in the same
     text or in another row's; strings are judged on the input and never cross rows. Null texts count
     as empty; texts shorter than `length` stay whole. Repeated rows repeat each other, so they go.
-    Null doc_ids are rows like any other. Other columns are ignored. kept may end within a character.
+    doc_ids may be null or of any type; other columns are ignored. kept may end within a character.
     """
-    rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("id_"), F.xxhash64("doc_id", "text").alias("tag_"), "text")
-    spans = repeated_spans(rows.drop("doc_id"), length, anchor, group_runs)
+    rows = shipped(docs).select("doc_id", F.xxhash64("doc_id").alias("id_"), F.xxhash64("doc_id", "text").alias("tag_"), "text")
+    spans = repeated_spans(rows.drop("doc_id"), length, anchor, fan)
     by_row = spans.groupBy("id_", "tag_").agg(F.collect_set(F.struct("start", "end")).alias("spans_"))
 
     def cleaned(batches):
@@ -287,5 +267,6 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, gr
 
 
 def op9_suffix_dedup(spark, sf_dir):
+    """Every document: its bytes, how many of them go in how many runs, and what stays."""
     out = suffix_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
