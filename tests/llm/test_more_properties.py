@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from symtrail.llm import decontaminate, line_dedup, pii, quality
+from symtrail.llm import decontaminate, licenses, line_dedup, pii, quality
 
 
 @pytest.mark.parametrize("n", range(5, 21))
@@ -64,3 +64,15 @@ def test_filters_meet_their_shards_when_too_large_to_send(spark, monkeypatch):
     assert sorted(sent) == sorted(met)
     with pytest.raises(ValueError):
         line_dedup.build(docs, shards=3)
+
+
+def test_whole_licence_texts(spark):
+    """Each text is found as it stands, with a word changed in every twenty-five, and not by its first half."""
+    rows = []
+    for i, text in enumerate(licenses.TEXTS.values()):
+        words = text.split()
+        worn = [f"w{k}" if k % 25 == 7 else w for k, w in enumerate(words)]
+        rows += [(10 * i, f"intro words {text} and more"), (10 * i + 1, " ".join(worn)), (10 * i + 2, " ".join(words[: len(words) // 2]))]
+    got = {r["doc_id"]: r["labels"].split(",") for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, label in enumerate(licenses.TEXTS):
+        assert label in got[10 * i] and label in got[10 * i + 1] and label not in got[10 * i + 2]
