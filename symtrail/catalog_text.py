@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions import stack, text
-from .operators import editor, graph, incremental, lookup, rank, refs
+from .operators import editor, graph, incremental, lookup, rank, refs, search
 from .plans.adapters import read
 from .registry import ENTRY_SQL, query
 from .sources import projects
@@ -123,6 +123,18 @@ def item_texts(f):
     return editor.item_text(own)
 
 
+@query("SELECT id, file || ':' || line || ':' || col AS location FROM symbols")
+def locations(f):
+    return search.location_text(f.symbols)
+
+
+@query("""SELECT id, qualified, least(levenshtein('hot_gaer', name), levenshtein('hot_gaer', qualified)) AS distance FROM symbols
+WHERE language = 'promo' AND least(levenshtein('hot_gaer', name), levenshtein('hot_gaer', qualified)) <= 3 ORDER BY distance, id LIMIT 20""")
+def symbols_spelt_alike(f):
+    """Symbols listed by what is spelt alike, in one language."""
+    return search.find_symbols(f.symbols, "hot_gaer", 20, "promo", fuzzy=True).select("id", "qualified", F.col("distance").cast("long").alias("distance"))
+
+
 @query("SELECT asked, qualified, how FROM (SELECT 'hot_gaer' AS asked, value AS qualified, 'suggested' AS how, levenshtein('hot_gaer', value) AS d FROM (SELECT name AS value FROM symbols UNION SELECT qualified FROM symbols) WHERE levenshtein('hot_gaer', value) BETWEEN 1 AND 3 ORDER BY d, value LIMIT 5)")
 def callers_suggested(f):
     """Callers asked for by a name that nothing has: near names instead."""

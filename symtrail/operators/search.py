@@ -142,6 +142,17 @@ def fuzzy_search_projects(symbols: DataFrame, query: str, limit: int, max_distan
     return found.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= limit)
 
 
+def find_symbols(symbols: DataFrame, pattern: str, limit: int, language: str | None = None, fuzzy: bool = False, max_distance: int = MAX_DISTANCE) -> DataFrame:
+    """The symbols that a user lists: by pattern, or, asked for it, by what is spelt alike."""
+    found = fuzzy_search(symbols, pattern, max_distance, limit, language) if fuzzy else search(symbols, pattern, limit, language).withColumn("distance", F.lit(None).cast("int"))
+    return found
+
+
+def location_text(symbols: DataFrame) -> DataFrame:
+    """id, location: file, line and column, as editors and compilers write them."""
+    return symbols.select("id", F.concat_ws(":", "file", F.col("line").cast("string"), F.col("column").cast("string")).alias("location"))
+
+
 def tool_search(symbols: DataFrame, pattern: str, limit: int = 20) -> DataFrame:
     """search(), exact names first, then shorter ones."""
     found = search(symbols, pattern, limit)
