@@ -10,8 +10,6 @@ from symtrail import catalog
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
-# the slow ones are compared at sf0.01 by the driver
-SLOW = {"enrich", "spider_files", "spider_formatted", "analyze_stacktrace"}
 
 
 @pytest.fixture(scope="module")
@@ -28,7 +26,7 @@ def rows(pdf):
     return columns, sorted(map(str, clean.itertuples(index=False, name=None)))
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_matches_sql(spark, duck, name):
     got = catalog.queries()[name](spark, SF).toPandas()
     assert rows(got) == rows(duck.execute(catalog.oracle_sql()[name]).df())
