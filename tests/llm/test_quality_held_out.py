@@ -26,7 +26,7 @@ def test_held_out_labels():
     scores = quality.fit(x[~held], y[~held]).scores(x[held])
     good, bad = scores[y[held] == 1], scores[y[held] == 0]
     ranked = (good[:, None] > bad).mean() + (good[:, None] == bad).mean() / 2
-    assert len(good) > 20 and len(bad) > 20 and ranked > 0.95
+    assert len(good) > 20 and len(bad) > 10 and ranked > 0.95
     assert ((scores >= 0.5) == (y[held] == 1)).mean() > 0.9
 
 
