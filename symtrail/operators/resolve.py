@@ -2,8 +2,8 @@
 
 Every step turns a name in a file into qualified names that it might mean. All candidates, with their
 place in the order of trial, are joined to the symbols at once; the first that exists is the answer.
-Scopes and imports that no symbol lies in are dropped before they meet the names of their file, so
-candidates are names times the scopes that count, file by file.
+Scopes and imports that no symbol lies in, and names that no symbol has within a scope, are dropped
+before they meet, so candidates are the names times the scopes that count, file by file.
 """
 
 from __future__ import annotations
@@ -52,9 +52,10 @@ def _ups(qualified: Column, sep: str) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), sep))
 
 
-def _candidates(step, sep: str, wanted: DataFrame, symbols: DataFrame, opens: DataFrame, scopes: DataFrame) -> DataFrame:
-    """name, from_file, candidate, id, place, via: what one step makes of each wanted name. id is known
-    only where the step finds a symbol itself; place is the order of trial within the step."""
+def _candidates(step, sep: str, wanted: DataFrame, inner: DataFrame, symbols: DataFrame, opens: DataFrame, scopes: DataFrame) -> DataFrame:
+    """name, from_file, candidate, id, place, via: what one step makes of each wanted name. inner are
+    those that some symbol is called in some scope. id is known only where the step finds a symbol
+    itself; place is the order of trial within the step."""
     kind, *args = (step,) if isinstance(step, str) else step
     own = symbols.groupBy(F.col("file").alias("from_file"), "qualified").agg(F.min("id").alias("pos"))
     zero, none, name = F.lit(0).cast("long"), F.lit(None).cast("string"), F.col("name")
@@ -73,11 +74,11 @@ def _candidates(step, sep: str, wanted: DataFrame, symbols: DataFrame, opens: Da
         counts = counts | F.col("space").contains(sep) if dotted else counts
         first = first.filter(counts).groupBy("qualified", "space").agg(F.min("id").alias("first"))
         first = own.join(first, "qualified").groupBy("from_file").agg(F.min_by("space", F.struct("pos", "first")).alias("scope")).join(scopes, "scope", "left_semi")
-        return out(wanted.join(first, "from_file"), F.concat("scope", F.lit(sep), name))
+        return out(inner.join(first, "from_file"), F.concat("scope", F.lit(sep), name))
     if kind == "parents":
         ups = own.filter(F.col("qualified").contains(sep)).select("from_file", "pos", F.posexplode(F.reverse(_ups(F.col("qualified"), sep))).alias("up", "scope"))
         ups = ups.groupBy("from_file", "scope").agg(F.min(F.struct("pos", "up")).alias("at")).join(scopes, "scope", "left_semi")
-        return out(wanted.join(ups, "from_file"), F.concat("scope", F.lit(sep), name), F.col("at.pos"), zero, F.col("at.up").cast("long"), via=F.col("scope"))
+        return out(inner.join(ups, "from_file"), F.concat("scope", F.lit(sep), name), F.col("at.pos"), zero, F.col("at.up").cast("long"), via=F.col("scope"))
     every = []
     if kind == "members":
         rules, kinds = args
@@ -85,7 +86,7 @@ def _candidates(step, sep: str, wanted: DataFrame, symbols: DataFrame, opens: Da
             if rule == "scope":
                 of_kind = symbols.filter(F.col("kind").isin(*kinds)).groupBy("qualified").agg(F.min("id").alias("first"))
                 inside = own.join(of_kind, "qualified").withColumnRenamed("qualified", "scope").join(scopes, "scope", "left_semi")
-                every.append(out(wanted.join(inside, "from_file"), F.concat("scope", F.lit(sep), name), F.col("pos"), F.col("first"), c))
+                every.append(out(inner.join(inside, "from_file"), F.concat("scope", F.lit(sep), name), F.col("pos"), F.col("first"), c))
                 continue
             named = symbols.select("qualified", "name", "id")
             if rule == "ends":  # the name, or any end of the qualified name after a separator
@@ -103,10 +104,11 @@ def _candidates(step, sep: str, wanted: DataFrame, symbols: DataFrame, opens: Da
             ends = opened.select("from_file", "scope", "ord", F.explode(_tails(scope, sep)).alias("name"))
             df, candidate = wanted.join(ends, ["from_file", "name"]), scope
         elif rule == "tail":  # the name begins with the import's last segment
-            df = wanted.join(inside, "from_file").filter(name.startswith(F.concat(last, F.lit("."))))
+            headed = wanted.filter(name.contains(".")).select("name", "from_file", F.explode(_ups(name, ".")).alias("head"))
+            df = headed.join(inside.withColumn("head", last), ["from_file", "head"])
             candidate = F.concat(scope, F.substring(name, F.length(last) + 1, F.length(name)))
         else:
-            df, candidate = wanted.join(inside, "from_file"), F.concat(scope, F.lit(sep), name)
+            df, candidate = inner.join(inside, "from_file"), F.concat(scope, F.lit(sep), name)
         every.append(out(df, candidate, F.col("ord"), zero, c, scope, scope))
     return reduce(DataFrame.unionByName, every)
 
@@ -133,11 +135,14 @@ def resolve(wanted: DataFrame, symbols: DataFrame, opens: DataFrame, language: s
     resolves. order (path, ord), if given, is the compile order that F# respects."""
     sep, steps = RULES[language]
     wanted = wanted.select("name", "from_file").distinct()
-    scopes = symbols.filter(F.col("qualified").contains(sep)).select(F.explode(_ups(F.col("qualified"), sep)).alias("scope")).distinct()
+    scoped = symbols.filter(F.col("qualified").contains(sep)).select("qualified").distinct()
+    scopes = scoped.select(F.explode(_ups(F.col("qualified"), sep)).alias("scope")).distinct()
+    called = scoped.select(F.explode(_tails(F.col("qualified"), sep)).alias("name")).distinct()
+    inner = wanted.join(called, "name", "left_semi")
     every = []
     for prio, step in enumerate(steps):
         kind = step if isinstance(step, str) else step[0]
-        found = _candidates(step, sep, wanted, symbols, opens, scopes)
+        found = _candidates(step, sep, wanted, inner, symbols, opens, scopes)
         every.append(found.withColumns({"prio": F.lit(prio), "resolution": F.lit(NAMES[kind])}))
     found = reduce(DataFrame.unionByName, every).join(_known(symbols, language), "candidate")
     if order is not None and language == "fsharp":
