@@ -14,12 +14,13 @@ from .scratch import shared_folder
 from .store import FactStore
 
 
-def _store(f: Facts) -> FactStore:
-    """A new store with all facts; the columns that the derived facts lack are null."""
+def _store(f: Facts, *relations: str) -> FactStore:
+    """A new store with the facts of some relations, or of all; the columns that they lack are null."""
     spark = f.symbols.sparkSession
     store = FactStore(spark, f"{shared_folder(spark)}/stores/{uuid.uuid4().hex}", buckets=8).create()
     opens = f.opens.withColumn("id", F.xxhash64("file", "module_path"))
-    store.overwrite(symbols=f.symbols, refs=f.refs, opens=opens, members=f.members, file_mtimes=_mtimes(f))
+    facts = {"symbols": f.symbols, "refs": f.refs, "opens": opens, "members": f.members, "file_mtimes": _mtimes(f)}
+    store.overwrite(**{name: facts[name] for name in relations or facts})
     return store
 
 
@@ -42,7 +43,7 @@ def store_bulk(f):
 @query("SELECT id, name, qualified, kind, file, line, visibility, language, parent, type_signature FROM symbols UNION ALL SELECT 1000000000, 'added', 'X.added', 'function', 'src/new.py', 3, 'public', 'promo', NULL, 'int'")
 def store_insert_symbol(f):
     """One typed symbol added to a store; nothing that is there is written again."""
-    store = _store(f)
+    store = _store(f, "symbols")
     row = f.symbols.sparkSession.createDataFrame([(1_000_000_000, "added", "X.added", "function", "int", "src/new.py", 3, 1, "public", "promo")], "id long, name string, qualified string, kind string, type_signature string, file string, line int, column int, visibility string, language string")
     store.append("symbols", row)
     return store.read("symbols").select("id", "name", "qualified", "kind", "file", "line", "visibility", "language", "parent", "type_signature")
@@ -51,7 +52,7 @@ def store_insert_symbol(f):
 @query("""SELECT 'refs' AS relation, count(*) + 1 AS n, 'src/new.py' AS last_file FROM refs UNION ALL SELECT 'opens', count(*) + 1, 'src/new.py' FROM opens UNION ALL SELECT 'members', count(*) + 1, 'added' FROM members""")
 def store_insert_facts(f):
     """One ref, one open and one member added."""
-    store, spark = _store(f), f.symbols.sparkSession
+    store, spark = _store(f, "refs", "opens", "members"), f.symbols.sparkSession
     store.append("refs", spark.createDataFrame([(-1, "added", "src/new.py", 1, 1)], "id long, name string, file string, line int, column int"))
     store.append("opens", spark.createDataFrame([(-1, "src/new.py", "X", 1)], "id long, file string, module_path string, ord int"))
     store.append("members", spark.createDataFrame([(-1, "X", "added", "int", "method")], "id long, type_name string, member_name string, member_type string, kind string"))
@@ -65,7 +66,7 @@ def store_insert_facts(f):
 @query("SELECT 'deleted' AS step, count(*) AS n FROM members WHERE type_name <> 'PROMO' UNION ALL SELECT 'cleared', 0")
 def store_members(f):
     """The members of one type deleted; then all of them."""
-    store = _store(f)
+    store = _store(f, "members")
     store.delete_where("members", "type_name = 'PROMO'")
     deleted = store.read("members").agg(F.lit("deleted").alias("step"), F.count("*").alias("n"))
     n = deleted.first()["n"]
@@ -78,7 +79,7 @@ def store_members(f):
 UNION ALL SELECT 'point', (SELECT max(id) FROM symbols WHERE file = 'src/Brand_8.py') UNION ALL SELECT 'tracked', count(DISTINCT file) - 1 FROM symbols UNION ALL SELECT 'cleared', 0""")
 def store_mtimes(f):
     """A time set, one deleted with its file, one looked up, the tracked files counted, all cleared."""
-    store, spark = _store(f), f.symbols.sparkSession
+    store, spark = _store(f, "file_mtimes"), f.symbols.sparkSession
     store.set_mtimes(spark.createDataFrame([("src/Brand_9.py", 77)], "path string, mtime long"))
     store.replace_files(spark.createDataFrame([("src/Brand_7.py",)], "path string"), {"file_mtimes": spark.createDataFrame([], "path string, mtime long")})
     after = store.read("file_mtimes")
@@ -90,7 +91,7 @@ def store_mtimes(f):
 
 @query("SELECT 'schema_version' AS key, '4' AS value UNION ALL SELECT 'root', '/b' UNION ALL SELECT 'missing', NULL")
 def store_metadata(f):
-    store, spark = _store(f), f.symbols.sparkSession
+    store, spark = _store(f, "file_mtimes"), f.symbols.sparkSession
     store.set_metadata("root", "/a")
     store.set_metadata("root", "/b")
     missing = spark.createDataFrame([("missing", store.metadata("missing"))], "key string, value string")
@@ -101,7 +102,7 @@ def store_metadata(f):
 def store_replace_file(f):
     """A file saved anew and another cleared; what a writer wrote that never came to its pointer
     leaves no trace."""
-    store, spark = _store(f), f.symbols.sparkSession
+    store, spark = _store(f, "symbols"), f.symbols.sparkSession
     seven, eight = (spark.createDataFrame([(f"src/Brand_{i}.py",)], "path string") for i in (7, 8))
     fresh = f.symbols.filter("file = 'src/Brand_7.py'").limit(1).withColumn("id", F.lit(-1).cast("long"))
     with store.writer():
@@ -139,7 +140,7 @@ def definitions_searched(f):
 
 @query("SELECT file FROM (SELECT DISTINCT file FROM symbols)")
 def tracked_files(f):
-    return _store(f).tracked_files().select(F.col("path").alias("file"))
+    return _store(f, "file_mtimes").tracked_files().select(F.col("path").alias("file"))
 
 
 @query("""SELECT file, count(*) AS n FROM symbols WHERE kind IN ('class', 'module', 'interface', 'record', 'union') GROUP BY file""")
