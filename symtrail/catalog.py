@@ -9,6 +9,7 @@ from .functions import history, stack, text
 from .operators import editor, graph, incremental, lookup, rank, refs, search
 from .plans.adapters import Facts, read, star_facts, watch_events
 from .registry import ENTRY_SQL, oracle_sql, queries, query
+from .scratch import shuffled
 from .streaming import watch
 from . import catalog_extract, catalog_resolve, catalog_store, catalog_text  # noqa: F401  (they register their queries)
 
@@ -513,7 +514,7 @@ def analyze_stacktrace(spark, sf_dir):
     f = star_facts(spark, sf_dir)
     parts = f.symbols.agg(F.count("*").alias("parts_"))
     e = read(spark, sf_dir, "events").filter("event_type = 'error'").join(F.broadcast(parts), F.lit(True)).withColumn("id", F.col("event_id") % F.col("parts_"))
-    traces = e.join(f.symbols.select("id", "qualified"), "id").select(F.col("event_id").alias("trace_id"), F.concat(F.lit("Error: x\nat "), "qualified", F.lit("(Main.java:3)")).alias("text"))
+    traces = e.join(shuffled(f.symbols.select("id", "qualified")), "id").select(F.col("event_id").alias("trace_id"), F.concat(F.lit("Error: x\nat "), "qualified", F.lit("(Main.java:3)")).alias("text"))
     frames = stack.parse_traces(traces).filter("frame is not null").select("trace_id", "frame.symbol")
     return graph.analyse_frames(frames, f.symbols, f.refs).select("trace_id", "symbol", "defined_as", "callers")
 

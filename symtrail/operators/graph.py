@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import materialise
+from ..scratch import materialise, shuffled
 from .lookup import can_reference
-from .refs import containing_symbol, references_any, references_to, target_keys, with_keys
+from .refs import containing_symbol, references_any, split_keys, target_keys, with_keys
 from .search import cascade, search, suggest_similar
 
 
@@ -204,16 +204,37 @@ def enrich(symbols: DataFrame, refs: DataFrame, opens: DataFrame, entry: str) ->
     return own.join(F.broadcast(called), F.lit(True)).join(F.broadcast(needs), F.lit(True))
 
 
+def _caller_counts(symbols: DataFrame, refs: DataFrame, targets: DataFrame) -> DataFrame:
+    """target, callers: how many symbols other than itself hold refs to each target (target, short).
+
+    Who refers to a short name is counted once for all targets that have it, not once for each; what
+    a target has besides comes on top, and it takes itself off.
+    """
+    sites = materialise(refs.select("name", "file", "line"))
+    names = with_keys(sites.select("name").distinct()).join(split_keys(targets), "key_").select("name", "short", "target").distinct()
+    wanted = sites.join(names.select("name").distinct(), "name", "left_semi")
+    lines = wanted.select("file", "line", F.lit(0).cast("long").alias("id")).distinct()
+    holders = containing_symbol(symbols, lines).filter("container is not null").select("file", "line", "container")
+    held = wanted.join(holders.hint("shuffle_hash"), ["file", "line"])
+    pairs = materialise(held.join(names, "name").select("short", "target", "container").distinct())
+    near = pairs.filter("target is null").select("short", "container")
+    far = pairs.filter("target is not null").join(shuffled(near), ["short", "container"], "left_anti")
+    alike = shuffled(near.groupBy("short").agg(F.count("*").alias("alike_")))
+    more = shuffled(far.filter("container <> target").groupBy("target").agg(F.count("*").alias("more_")))
+    own = shuffled(near.select("short", F.col("container").alias("target"), F.lit(1).alias("own_")))
+    counted = shuffled(targets).join(alike, "short", "left").join(more, "target", "left").join(own, ["short", "target"], "left")
+    return counted.select("target", F.expr("coalesce(alike_, 0) + coalesce(more_, 0) - coalesce(own_, 0)").alias("callers"))
+
+
 def analyse_frames(frames: DataFrame, symbols: DataFrame, refs: DataFrame) -> DataFrame:
     """frames (with symbol) with the file and line of the symbol's definition and how many symbols
     call it; by qualified name, else by the first symbol of that name."""
     exact = symbols.groupBy(F.col("qualified").alias("symbol")).agg(F.min_by(F.struct("qualified", "file", "line"), "id").alias("by_qualified"))
     named = symbols.groupBy(F.col("name").alias("symbol")).agg(F.min_by(F.struct("qualified", "file", "line"), "id").alias("by_name"))
-    placed = frames.join(exact, "symbol", "left").join(named, "symbol", "left").withColumn("s_", F.coalesce("by_qualified", "by_name")).drop("by_qualified", "by_name")
+    placed = frames.join(shuffled(exact), "symbol", "left").join(shuffled(named), "symbol", "left").withColumn("s_", F.coalesce("by_qualified", "by_name")).drop("by_qualified", "by_name")
     targets = _targets(symbols, placed.select(F.col("s_.qualified").alias("qualified")).filter("qualified is not null"))
-    held = containing_symbol(symbols, references_any(targets, refs)).filter("container is not null").select("name", "container").distinct()
-    counts = references_to(targets, held).filter("container <> target").groupBy("target").agg(F.count_distinct("container").alias("callers"))
-    joined = placed.join(counts, F.col("s_.qualified") == F.col("target"), "left")
+    counts = _caller_counts(symbols, refs, targets)
+    joined = placed.join(shuffled(counts), F.col("s_.qualified") == F.col("target"), "left")
     return joined.select(*frames.columns, F.col("s_.qualified").alias("defined_as"), F.col("s_.file").alias("defined_in"), F.col("s_.line").alias("defined_at"), F.coalesce("callers", F.lit(0)).alias("callers"))
 
 

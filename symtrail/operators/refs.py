@@ -41,6 +41,15 @@ def target_keys(targets: DataFrame) -> DataFrame:
     return targets.select("target", F.explode(keys).alias("key_")).distinct()
 
 
+def split_keys(targets: DataFrame) -> DataFrame:
+    """short, target, key_: target_keys() with those of a short name once for all of its targets, with
+    a null target. What ends in the short name has it as its end, so few targets have more keys."""
+    wholes = F.array_distinct(F.concat(F.array("target"), _suffixes(F.col("target"))))
+    more = F.filter(wholes, lambda k: (k != F.col("short")) & ~k.endswith(F.concat(F.lit("."), F.col("short"))))
+    alike = targets.select("short").distinct().select("short", F.lit(None).cast("string").alias("target"), F.explode(F.array(_key("whole", F.col("short")), _key("end", F.col("short")))).alias("key_"))
+    return alike.unionByName(targets.select("short", "target", F.explode(F.transform(more, lambda k: _key("whole", k))).alias("key_")))
+
+
 def with_keys(refs: DataFrame, name: str = "name") -> DataFrame:
     """refs once for each of its keys; see target_keys()."""
     keys = F.concat(F.array(_key("whole", F.col(name))), F.transform(_suffixes(F.col(name)), lambda k: _key("end", k)))

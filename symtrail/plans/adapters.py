@@ -7,6 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import shuffled
 from ..shipping import ship
 
 
@@ -52,7 +53,7 @@ def star_facts(spark: SparkSession, sf_dir: str) -> Facts:
     site = symbols.select(F.col("id").alias("site_"), "file", "line")
     items = read(spark, sf_dir, "lineitem").join(F.broadcast(parts), F.lit(True)).withColumn("site_", F.col("l_orderkey") % F.col("parts_"))
     identity = F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
-    refs = items.join(target, "l_partkey").join(site, "site_")
+    refs = items.join(shuffled(target), "l_partkey").join(shuffled(site), "site_")
     refs = refs.select(identity.alias("id"), F.when(F.col("l_linenumber") % 2 == 0, F.col("t_qualified")).otherwise(F.col("t_name")).alias("name"), "file", "line", F.col("l_linenumber").cast("int").alias("column"))
     customer = read(spark, sf_dir, "customer")
     types = F.array(*[F.lit(t) for t in ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")])
