@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..scratch import materialise, shuffled
 from .lookup import can_reference
-from .refs import containing_symbol, references_any, split_keys, target_keys, with_keys
+from .refs import containing_symbol, references_any, split_keys, suffixes, target_keys, with_keys
 from .search import cascade, search, suggest_similar
 
 
@@ -46,26 +46,28 @@ def _by_rarest_gram(names: DataFrame, indexed: DataFrame) -> DataFrame:
 def resolve_refs(symbols: DataFrame, opens: DataFrame, refs: DataFrame, order: DataFrame | None = None) -> DataFrame:
     """file, name, target for each distinct ref of a file: the symbol that it means, null for none.
 
-    First the name itself, then each import of the file joined to it by a dot, in order, then the
-    first hit of the ranked search. The last is a search for a substring; it runs only for distinct
+    First the name itself, then each import of the file joined to it by a dot, in order (only names
+    that some symbol ends in meet imports), then the first hit of the ranked search. The last is a search for a substring; it runs only for distinct
     names that the first two leave, as an equality join on the name's rarest gram with the rule as a
     residual.
     """
-    wanted = refs.select(F.col("file").alias("from_file"), "name").distinct()
-    last = symbols.groupBy("qualified").agg(F.max_by("file", "id").alias("to_file"))
+    wanted = shuffled(materialise(refs.select(F.col("file").alias("from_file"), "name").distinct()))
+    last = shuffled(symbols.groupBy("qualified").agg(F.max_by("file", "id").alias("to_file")))
     exact = _visible(wanted.join(last, F.col("name") == F.col("qualified")), order)
     exact = exact.select("from_file", "name", F.lit(1).alias("prio"), F.lit(0).alias("ord"), F.col("qualified").alias("target"))
     opened = opens.select(F.col("file").alias("from_file"), "module_path", "ord")
-    joined = wanted.join(opened, "from_file").withColumn("qualified", F.concat_ws(".", "module_path", "name")).join(last, "qualified")
+    ends = shuffled(symbols.select(F.explode(suffixes(F.col("qualified"))).alias("name")).distinct())
+    joined = wanted.join(ends, "name", "left_semi").join(opened, "from_file").withColumn("qualified", F.concat_ws(".", "module_path", "name")).join(last, "qualified")
     joined = _visible(joined, order).select("from_file", "name", F.lit(2).alias("prio"), "ord", F.col("qualified").alias("target"))
-    found = materialise(exact.unionByName(joined).groupBy("from_file", "name").agg(F.min_by("target", F.struct("prio", "ord", "target")).alias("target")))
-    left = materialise(wanted.join(found, ["from_file", "name"], "left_anti"))
+    found = shuffled(materialise(exact.unionByName(joined).groupBy("from_file", "name").agg(F.min_by("target", F.struct("prio", "ord", "target")).alias("target"))))
+    left = shuffled(materialise(wanted.join(found, ["from_file", "name"], "left_anti")))
     low = F.lower("query")
     text = F.lower(F.concat_ws("\n", "name", "qualified"))
-    indexed = symbols.select("id", "name", "qualified", F.col("file").alias("to_file"), F.explode(_grams(text)).alias("gram"))
+    kinds = symbols.select("name", "qualified", *([] if order is None else [F.col("file").alias("to_file")])).distinct()
+    indexed = kinds.select("*", F.explode(_grams(text)).alias("gram"))
     names = _by_rarest_gram(left.select(F.col("name").alias("query")).distinct(), indexed)
     hit = F.lower("name").startswith(low) | F.lower("qualified").contains(low)
-    best = F.struct(F.lower("name") != low, ~F.lower("name").startswith(low), F.octet_length("name"), "qualified", "id")
+    best = F.struct(F.lower("name") != low, ~F.lower("name").startswith(low), F.octet_length("name"), "qualified")
     hits = names.join(indexed, "gram").filter(hit).withColumn("best", best)
     if order is None:
         chosen = hits.groupBy(F.col("query").alias("name")).agg(F.min_by("qualified", "best").alias("target"))
@@ -73,7 +75,7 @@ def resolve_refs(symbols: DataFrame, opens: DataFrame, refs: DataFrame, order: D
     else:
         near = _visible(left.join(hits.withColumnRenamed("name", "hit_name"), F.col("name") == F.col("query")), order)
         searched = near.groupBy("from_file", "name").agg(F.min_by("qualified", "best").alias("target"))
-    known = found.unionByName(searched.select("from_file", "name", "target"))
+    known = shuffled(found.unionByName(searched.select("from_file", "name", "target")))
     return wanted.join(known, ["from_file", "name"], "left").select(F.col("from_file").alias("file"), "name", "target")
 
 
@@ -86,7 +88,7 @@ def _walk(seeds: DataFrame, step: Callable[[DataFrame], DataFrame], max_depth: i
     seen = level
     for depth in range(1, max_depth + 1):
         reached = step(level).select("root", "qualified").distinct()
-        level = materialise(reached.join(seen, ["root", "qualified"], "left_anti").withColumn("depth", F.lit(depth)))
+        level = materialise(reached.join(shuffled(seen), ["root", "qualified"], "left_anti").withColumn("depth", F.lit(depth)))
         if level.isEmpty():
             break
         seen = seen.unionByName(level)
@@ -95,19 +97,23 @@ def _walk(seeds: DataFrame, step: Callable[[DataFrame], DataFrame], max_depth: i
 
 def _forward(symbols: DataFrame, refs: DataFrame, opens: DataFrame, order: DataFrame | None):
     """The step of a forward walk: all refs of the files that define the level's nodes, resolved. Only
-    files that the walk comes to are ever resolved, each once for a root."""
-    last = symbols.groupBy("qualified").agg(F.max_by("file", "id").alias("file"))
+    files that the walk comes to are ever resolved, each once for a root; the names that files refer
+    to are taken from the refs once."""
+    last = shuffled(symbols.groupBy("qualified").agg(F.max_by("file", "id").alias("file")))
     done: list[DataFrame] = []
+    names: list[DataFrame] = []
 
     def step(level: DataFrame) -> DataFrame:
-        files = level.join(last, "qualified").select("root", "file").distinct()
+        if not names:
+            names.append(materialise(refs.select("file", "name").distinct()))
+        files = shuffled(level).join(last, "qualified").select("root", "file").distinct()
         for before in done:
-            files = files.join(before, ["root", "file"], "left_anti")
+            files = files.join(shuffled(before), ["root", "file"], "left_anti")
         files = materialise(files)
         done.append(files)
-        own = refs.join(files.select("file").distinct(), "file", "left_semi")
+        own = names[0].join(files.select("file").distinct(), "file", "left_semi")
         edges = resolve_refs(symbols, opens, own, order).filter("target is not null")
-        return files.join(edges, "file").select("root", F.col("target").alias("qualified"))
+        return shuffled(files).join(shuffled(edges), "file").select("root", F.col("target").alias("qualified"))
 
     return step
 

@@ -22,7 +22,7 @@ def find_references_defined(symbols: DataFrame, refs: DataFrame, qualified: str)
     return references_to(targets, refs)
 
 
-def _suffixes(c: Column) -> Column:
+def suffixes(c: Column) -> Column:
     """What stands after each dot of a name, the longest first."""
     parts = F.split(c, r"\.")
     return F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(2), F.size(parts)), lambda n: F.array_join(F.slice(parts, n, F.size(parts)), "."))).otherwise(F.array().cast("array<string>"))
@@ -36,7 +36,7 @@ def target_keys(targets: DataFrame) -> DataFrame:
     """target, key_ for every target (target, short). A ref means a target if it is the short name,
     the qualified name or an end of that, or ends in the short name after a dot: that is, if one of
     the ref's keys (its whole name, or an end of it) equals one of these."""
-    wholes = F.array_distinct(F.concat(F.array("short", "target"), _suffixes(F.col("target"))))
+    wholes = F.array_distinct(F.concat(F.array("short", "target"), suffixes(F.col("target"))))
     keys = F.concat(F.transform(wholes, lambda k: _key("whole", k)), F.array(_key("end", F.col("short"))))
     return targets.select("target", F.explode(keys).alias("key_")).distinct()
 
@@ -44,7 +44,7 @@ def target_keys(targets: DataFrame) -> DataFrame:
 def split_keys(targets: DataFrame) -> DataFrame:
     """short, target, key_: target_keys() with those of a short name once for all of its targets, with
     a null target. What ends in the short name has it as its end, so few targets have more keys."""
-    wholes = F.array_distinct(F.concat(F.array("target"), _suffixes(F.col("target"))))
+    wholes = F.array_distinct(F.concat(F.array("target"), suffixes(F.col("target"))))
     more = F.filter(wholes, lambda k: (k != F.col("short")) & ~k.endswith(F.concat(F.lit("."), F.col("short"))))
     alike = targets.select("short").distinct().select("short", F.lit(None).cast("string").alias("target"), F.explode(F.array(_key("whole", F.col("short")), _key("end", F.col("short")))).alias("key_"))
     return alike.unionByName(targets.select("short", "target", F.explode(F.transform(more, lambda k: _key("whole", k))).alias("key_")))
@@ -52,7 +52,7 @@ def split_keys(targets: DataFrame) -> DataFrame:
 
 def with_keys(refs: DataFrame, name: str = "name") -> DataFrame:
     """refs once for each of its keys; see target_keys()."""
-    keys = F.concat(F.array(_key("whole", F.col(name))), F.transform(_suffixes(F.col(name)), lambda k: _key("end", k)))
+    keys = F.concat(F.array(_key("whole", F.col(name))), F.transform(suffixes(F.col(name)), lambda k: _key("end", k)))
     return refs.withColumn("key_", F.explode(keys))
 
 

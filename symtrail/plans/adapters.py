@@ -51,10 +51,12 @@ def star_facts(spark: SparkSession, sf_dir: str) -> Facts:
     parts = part.agg(F.count("*").alias("parts_"))
     target = symbols.select(F.col("id").alias("l_partkey"), F.col("name").alias("t_name"), F.col("qualified").alias("t_qualified"))
     site = symbols.select(F.col("id").alias("site_"), "file", "line")
-    items = read(spark, sf_dir, "lineitem").join(F.broadcast(parts), F.lit(True)).withColumn("site_", F.col("l_orderkey") % F.col("parts_"))
     identity = F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
-    refs = items.join(shuffled(target), "l_partkey").join(shuffled(site), "site_")
-    refs = refs.select(identity.alias("id"), F.when(F.col("l_linenumber") % 2 == 0, F.col("t_qualified")).otherwise(F.col("t_name")).alias("name"), "file", "line", F.col("l_linenumber").cast("int").alias("column"))
+    items = read(spark, sf_dir, "lineitem").join(F.broadcast(parts), F.lit(True))
+    items = items.select(identity.alias("id"), (F.col("l_orderkey") % F.col("parts_")).alias("site_"), "l_partkey", "l_linenumber")
+    # both joins are shuffled, so rows go in as narrow as they come out
+    named = items.join(shuffled(target), "l_partkey").select("id", "site_", F.when(F.col("l_linenumber") % 2 == 0, F.col("t_qualified")).otherwise(F.col("t_name")).alias("name"), "l_linenumber")
+    refs = named.join(shuffled(site), "site_").select("id", "name", "file", "line", F.col("l_linenumber").cast("int").alias("column"))
     customer = read(spark, sf_dir, "customer")
     types = F.array(*[F.lit(t) for t in ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")])
     which = F.col("c_custkey") % 6

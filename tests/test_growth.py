@@ -50,3 +50,27 @@ def test_namesakes_are_counted_once(spark):
     assert got == {q: len(held[q] - {None, q}) for _, _, q, *_ in s}
     assert got["M0.run"] >= n - 1 and got["A::C5::call"] > got["A::C6::call"]
     assert most < n * n  # a row for each of its callers and each namesake would be more
+
+
+def chain(spark, n):
+    """n symbols of each of three files; the first refers to all of the second, that to all of the third."""
+    files = ["a", "b", "c"]
+    s = [(n * k + i, f"{f}{i}", f"{f}.{f}{i}", "function", f, i + 1) for k, f in enumerate(files) for i in range(n)]
+    r = [(n * k + i, f"{files[k + 1]}.{files[k + 1]}{i}", files[k], i + 1, 1) for k in (0, 1) for i in range(n)]
+    return s, r, spark.createDataFrame([], "file string, module_path string, ord int")
+
+
+def test_walks_do_not_go_through_the_driver(spark):
+    n = 3000
+    s, r, opens = chain(spark, n)
+    symbols, found = spark.createDataFrame(s, SYMBOLS), spark.createDataFrame(r, REFS)
+    got = {}
+    sent = most_rows(spark, lambda: got.update({x["qualified"]: x["depth"] for x in graph.spider(symbols, found, opens, "a.a7", 2).collect()}), "BroadcastExchange")
+    assert got == {"a.a7": 0} | {f"b.b{i}": 1 for i in range(n)} | {f"c.c{i}": 2 for i in range(n)}
+    assert sent < 100
+
+
+def test_derived_refs_do_not_send_parts_through_the_driver(spark):
+    from symtrail.plans.adapters import star_facts
+
+    assert "BroadcastHashJoin" not in star_facts(spark, "/root/testdata/sf0.001").refs._jdf.queryExecution().executedPlan().toString()
