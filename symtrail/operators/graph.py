@@ -179,10 +179,16 @@ def find_callers(symbols: DataFrame, refs: DataFrame, name: str) -> DataFrame:
 
 def spider_from_file(symbols: DataFrame, refs: DataFrame, opens: DataFrame, file: str, max_depth: int) -> DataFrame:
     """qualified, depth: the walks from each symbol of a file in turn; of what several reach, the
-    first walk's depth, which need not be the least."""
+    first walk's depth, which need not be the least.
+
+    Symbols whose definitions lie in one file start from the same refs, so their walks differ in the
+    symbol itself alone: the first of them is walked for all."""
     own = symbols.filter(F.col("file") == file).groupBy("qualified").agg(F.min("id").alias("root"))
-    found = _walk(own, _forward(symbols, refs, opens, None), max_depth)
-    return found.groupBy("qualified").agg(F.min_by("depth", "root").alias("depth"))
+    last = shuffled(symbols.groupBy("qualified").agg(F.max_by("file", "id").alias("home")))
+    seeds = own.join(last, "qualified").groupBy("home").agg(F.min_by(F.struct("root", "qualified"), "root").alias("s")).select("s.*")
+    found = _walk(seeds, _forward(symbols, refs, opens, None), max_depth)
+    found = found.unionByName(own.withColumn("depth", F.lit(0)))
+    return found.groupBy("qualified").agg(F.min_by("depth", F.struct("root", "depth")).alias("depth"))
 
 
 def with_symbols(nodes: DataFrame, symbols: DataFrame) -> DataFrame:

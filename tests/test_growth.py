@@ -74,3 +74,29 @@ def test_derived_refs_do_not_send_parts_through_the_driver(spark):
     from symtrail.plans.adapters import star_facts
 
     assert "BroadcastHashJoin" not in star_facts(spark, "/root/testdata/sf0.001").refs._jdf.queryExecution().executedPlan().toString()
+
+
+def test_symbols_of_one_file_are_walked_together(spark):
+    n = 150
+    s, r, opens = chain(spark, n)
+    s += [(10_000, "a3", "a.a3", "function", "d", 1), (10_001, "e", "e.e", "function", "e", 1)]  # the last overload of a.a3 is elsewhere
+    r += [(10_000 + i, name, "d", 1, 1) for i, name in enumerate(["a.a0", "a.a3", "c.c1", "e.e"])] + [(10_009, "a.a9", "c", 1, 1)]
+    symbols, found = spark.createDataFrame(s, SYMBOLS), spark.createDataFrame(r, REFS)
+    got = {}
+    for file, depth in (("a", 2), ("d", 3), ("a", 0)):
+        most = most_rows(spark, lambda: got.update({(file, depth): {x["qualified"]: x["depth"] for x in graph.spider_from_file(symbols, found, opens, file, depth).collect()}}))
+        assert most < n * n
+
+    home = {q: f for _, _, q, _, f, _ in s}
+    ahead = defaultdict(set)
+    for _, name, f, *_ in r:
+        ahead[f].add(name)
+    for (file, depth), answer in got.items():
+        want = {}
+        for root in dict.fromkeys(q for _, _, q, _, f, _ in s if f == file):
+            seen, level = {root: 0}, {root}
+            for d in range(1, depth + 1):
+                level = {x for q in level for x in ahead[home[q]]} - seen.keys()
+                seen |= dict.fromkeys(level, d)
+            want = seen | want
+        assert answer == want
