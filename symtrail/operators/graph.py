@@ -210,10 +210,16 @@ def formatted(nodes: DataFrame, symbols: DataFrame) -> DataFrame:
 
 def enrich(symbols: DataFrame, refs: DataFrame, opens: DataFrame, entry: str) -> DataFrame:
     """One row: the symbol with the sorted names of its callers and of what it depends on."""
+    refs = materialise(refs.select("name", "file", "line")).withColumn("id", F.lit(0).cast("long"))
     own = symbols.filter(F.col("qualified") == entry).orderBy("id").limit(1).select("qualified", "kind", "file", "line")
     called = callers(symbols, refs, entry).agg(F.sort_array(F.collect_set("qualified")).alias("callers"))
     needs = spider(symbols, refs, opens, entry, 1).filter("depth = 1").agg(F.sort_array(F.collect_set("qualified")).alias("dependencies"))
-    return own.join(F.broadcast(called), F.lit(True)).join(F.broadcast(needs), F.lit(True))
+    parts = [own.select(F.struct("*").alias("own_")), called, needs]
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part, allowMissingColumns=True)
+    one = every.agg(*[F.first(c, ignorenulls=True).alias(c) for c in ("own_", "callers", "dependencies")])
+    return one.filter("own_ is not null").select("own_.*", "callers", "dependencies")
 
 
 def _caller_counts(symbols: DataFrame, refs: DataFrame, targets: DataFrame) -> DataFrame:

@@ -100,3 +100,14 @@ def test_symbols_of_one_file_are_walked_together(spark):
                 seen |= dict.fromkeys(level, d)
             want = seen | want
         assert answer == want
+
+
+def test_enriching_does_not_go_through_the_driver(spark):
+    n = 3000
+    s, r, opens = chain(spark, n)
+    symbols, found = spark.createDataFrame(s, SYMBOLS), spark.createDataFrame([*r, *((9 * n + i, "a7", "c", i + 1, 1) for i in range(n))], REFS)
+    rows = []
+    sent = most_rows(spark, lambda: rows.extend(graph.enrich(symbols, found, opens, "a.a7").collect()), "BroadcastExchange")
+    assert [tuple(x) for x in rows] == [("a.a7", "function", "a", 8, sorted(f"c.c{i}" for i in range(n)), sorted(f"b.b{i}" for i in range(n)))]
+    assert graph.enrich(symbols, found, opens, "nowhere").collect() == []
+    assert sent < 100
