@@ -174,7 +174,8 @@ class FactStore:
             rows.write.parquet(f"{self.path}/{folder}/all")
             return {"all": [f"{folder}/all"]}
         bucketed = rows.withColumn("bucket", self._bucket(_BY_FILE[relation]))
-        bucketed.repartition("bucket").sortWithinPartitions("bucket", _BY_FILE[relation]).write.partitionBy("bucket").parquet(f"{self.path}/{folder}")
+        # dealt by bucket, a large bucket in as many pieces as it has advisory sizes: no task holds a whole one
+        bucketed.hint("rebalance", "bucket").sortWithinPartitions("bucket", _BY_FILE[relation]).write.partitionBy("bucket").parquet(f"{self.path}/{folder}")
         there = range(self.buckets) if only is None else only
         jvm, _, fs = self._fs()
         return {str(b): [f"{folder}/bucket={b}"] for b in there if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{folder}/bucket={b}"))}

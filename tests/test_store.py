@@ -84,3 +84,19 @@ def test_projects_are_registered_and_asked(spark, tmp_path):
     assert [r["project"] for r in definitions(every, "two").collect()] == [roots[1]]
     assert names(registry.reload(roots[0])) == ["one", "shared"]
     assert registry.unregister(roots[0]) and not registry.unregister(roots[0]) and registry.list() == [roots[1]]
+
+
+def test_a_large_bucket_is_written_in_pieces(spark, tmp_path):
+    n = 60_000
+    refs = spark.range(0, n, 1, 4).selectExpr("id", "concat('n', sha2(cast(id as string), 256)) as name", "'a.py' as file", "cast(id as int) as line", "1 as column")
+    old = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "256k")
+    try:
+        store = FactStore(spark, str(tmp_path / "s"), buckets=8).create()
+        store.overwrite(refs=refs)
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", old)
+    (folders,) = store._pointer()["relations"]["refs"].values()
+    pieces = [f for folder in folders for f in os.listdir(os.path.join(store.path, folder)) if f.endswith(".parquet")]
+    assert len(folders) == 1 and len(pieces) > 3
+    assert store.read("refs").exceptAll(refs.select(store.read("refs").columns)).count() == 0 and store.read("refs").count() == n
