@@ -100,3 +100,19 @@ def test_a_large_bucket_is_written_in_pieces(spark, tmp_path):
     pieces = [f for folder in folders for f in os.listdir(os.path.join(store.path, folder)) if f.endswith(".parquet")]
     assert len(folders) == 1 and len(pieces) > 3
     assert store.read("refs").exceptAll(refs.select(store.read("refs").columns)).count() == 0 and store.read("refs").count() == n
+
+
+def test_a_large_append_is_written_in_pieces(spark, tmp_path):
+    n = 60_000
+    store = FactStore(spark, str(tmp_path / "s"), buckets=8).create()
+    store.overwrite(refs=spark.createDataFrame([(-1, "x", "a.py", 1, 1)], "id long, name string, file string, line int, column int"))
+    more = spark.range(0, n, 1, 4).selectExpr("id", "concat('n', sha2(cast(id as string), 256)) as name", "'a.py' as file", "cast(id as int) as line", "1 as column")
+    old = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "256k")
+    try:
+        store.append("refs", more)
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", old)
+    (folders,) = store._pointer()["relations"]["refs"].values()
+    pieces = [f for f in os.listdir(os.path.join(store.path, folders[-1])) if f.endswith(".parquet")]
+    assert len(folders) == 2 and len(pieces) > 3 and store.read("refs").count() == n + 1
